@@ -8,11 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stemforge.llm.ann_search import nearest
 from stemforge.llm.bpe_automaton import encode_documents
 from stemforge.llm.common import table
+from stemforge.llm.language_id import fit_language_model, identify_language
+from stemforge.llm.packing import pack_documents
 from stemforge.llm.secret_scan import scan_secrets
+from stemforge.llm.toxicity import fit_toxicity_model, score_toxicity
 from stemforge.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +31,37 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _fold(modulus: int, value: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == value
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.where(~_fold(4, 2)))
+    return identify_language(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity_model(docs, labels.where(~_fold(5, 0)))
+    return score_toxicity(docs, model).select("doc_id", _fold(5, 0).alias("held_out"), "score", "predicted", "difference")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_bpe_automaton, op10_url_filter)}
+    found = (op1_secret_scan, op4_bpe_automaton, op6_language_id, op7_ann_search, op8_toxicity, op9_packing, op10_url_filter)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
