@@ -16,6 +16,8 @@ from stemforge.llm.bpe_automaton import encode_documents
 from stemforge.llm.common import table
 from stemforge.llm.language_id import fit_language_model, identify_language
 from stemforge.llm.packing import pack_documents
+from stemforge.llm.quality_rules import ORACLE as QUALITY_ORACLE
+from stemforge.llm.quality_rules import judge
 from stemforge.llm.secret_scan import scan_secrets
 from stemforge.llm.toxicity import fit_toxicity_model, score_toxicity
 from stemforge.llm.url_filter import filter_urls
@@ -27,6 +29,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).drop("removed_lines")
+
+
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -60,9 +66,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_secret_scan, op4_bpe_automaton, op6_language_id, op7_ann_search, op8_toxicity, op9_packing, op10_url_filter)
+    found = (op1_secret_scan, op2_quality_rules, op4_bpe_automaton, op6_language_id, op7_ann_search, op8_toxicity, op9_packing, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": QUALITY_ORACLE}
