@@ -118,16 +118,18 @@ class ToxicityModel:
 
     @classmethod
     def _count(cls, texts: list[str], toxic: np.ndarray) -> ToxicityModel:
-        parts = [[], []]
-        for text, y in zip(texts, toxic, strict=True):
-            parts[int(y)].append(text)
-        events = [_events(_padded(" ".join(p))) for p in parts]
-        grams, first, inverse = np.unique(np.concatenate([e[1] for e in events]), return_index=True, return_inverse=True)
-        which = np.repeat([0, 1], [len(e[1]) for e in events])
-        n = np.stack([np.bincount(inverse[which == y], minlength=len(grams)) for y in (0, 1)]).astype(float)
-        context = np.concatenate([e[0] for e in events])[first]
-        short = np.concatenate([e[2] for e in events])[first]
-        symbol = np.concatenate([_symbols(_padded(" ".join(p))) for p in parts])[first]
+        # counts are gathered in steps: (gram, its context, last two, symbol) once each, with counts of either class
+        found: list[tuple[np.ndarray, ...]] = []
+        for y in (False, True):
+            for part in _parts([t for t, z in zip(texts, toxic, strict=True) if z == y]):
+                codes = _padded(part)
+                context, gram, short, _ = _events(codes)
+                g, first, k = np.unique(gram, return_index=True, return_counts=True)
+                found.append((g, context[first], short[first], _symbols(codes)[first], np.zeros(len(g)) if y else k, k if y else np.zeros(len(g))))
+        joined = [np.concatenate(c) for c in zip(*found, strict=True)]
+        grams, first, inverse = np.unique(joined[0], return_index=True, return_inverse=True)
+        context, short, symbol = (c[first] for c in joined[1:4])
+        n = np.stack([np.bincount(inverse, c, len(grams)) for c in joined[4:]])
         # shared lower orders: in how many contexts a symbol follows the last two, and any
         pair, pair_of = np.unique(mix(short ^ (symbol * np.uint64(0x9E3779B97F4A7C15))), return_inverse=True)
         _, short_of = np.unique(short, return_inverse=True)
@@ -186,6 +188,19 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.difference(text) + self.offset, -40, 40))))
 
 
+def _parts(texts: list[str], size: int = 400_000):
+    held: list[str] = []
+    n = 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= size:
+            yield " ".join(held)
+            held, n = [], 0
+    if held:
+        yield " ".join(held)
+
+
 def _padded(text: str) -> np.ndarray:
     return np.concatenate([[np.uint32(32)], _codes(text), [np.uint32(32)]])
 
