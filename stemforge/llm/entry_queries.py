@@ -16,6 +16,7 @@ from stemforge.llm.bpe_automaton import encode_documents
 from stemforge.llm.common import table
 from stemforge.llm.language_id import fit_language_model, identify_language
 from stemforge.llm.line_dedup import report as line_report
+from stemforge.llm.ngram_join import join_ngrams
 from stemforge.llm.packing import pack_documents
 from stemforge.llm.quality_rules import ORACLE as QUALITY_ORACLE
 from stemforge.llm.quality_rules import judge
@@ -42,6 +43,10 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_ngrams(table(spark, sf_dir, "documents"))
+
+
 def _fold(modulus: int, value: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == value
 
@@ -71,7 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_secret_scan, op2_quality_rules, op3_line_dedup, op4_bpe_automaton, op6_language_id, op7_ann_search, op8_toxicity, op9_packing, op10_url_filter)
+    found = (op1_secret_scan, op2_quality_rules, op3_line_dedup, op4_bpe_automaton, op5_ngram_join, op6_language_id, op7_ann_search, op8_toxicity, op9_packing, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
