@@ -104,9 +104,9 @@ class LanguageModel:
         w = np.zeros((WIDTH, k), np.float32)
         bias = np.zeros(k, np.float32)
         batch = 48
-        steps = max(1, epochs * len(order) // batch)
-        for step in range(min(steps, 500)):
-            lr = rate * (1 - step / min(steps, 500))
+        steps = min(500, max(200, epochs * len(order) // batch))
+        for step in range(steps):
+            lr = rate * (1 - step / steps)
             pick = order[rng.integers(0, len(order), batch)] if len(order) else back
             counts = np.stack([np.bincount(rows[i], minlength=BUCKETS) / len(rows[i]) for i in pick]).astype(np.float32)
             used = np.flatnonzero(counts.any(0))
