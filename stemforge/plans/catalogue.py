@@ -4,7 +4,510 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from stemforge.functions import text as T
+from stemforge.operators import policy, records as R, windows as W
+from stemforge.plans.synth import FAILURES, RECORDS, failures, records, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# DuckDB pieces.  Its regular expressions have no look-around, and fold accents by a function.
+NORMAL = r"""
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  lower(replace(replace(strip_accents(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '\[[^\]]*?\]', ' ', 'g')), 'đ', 'd'), 'Đ', 'd')),
+  '(?:^|\s)(?:cau|question|bai)\s*(?:so\s*)?\d+\s*[.:)\]-]?\s*', ' ', 'g'),
+  '^\s*(?:\(?[a-e]\)?|[0-9]{{1,2}})\s*[.:)\]-]\s*', ''),
+  '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
+
+
+def normal(x: str) -> str:
+    return NORMAL.format(x=x)
+
+
+def lev(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END)"
+
+
+# --- normal forms and fingerprints
+
+
+@query(f"SELECT doc_id, {normal('text')} AS normal FROM documents")
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_field(F.col("text")).alias("normal"))
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(T.normalize_field(F.col("text")), 256).alias("fp"))
+
+
+FINGERPRINTS = f"fp AS (SELECT doc_id, source, sha256({normal('text')}) AS fp FROM documents)"
+
+
+@query(f"WITH {FINGERPRINTS} SELECT fp, min(doc_id) AS doc_id, count(*) AS copies FROM fp GROUP BY fp")
+def fingerprint_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-wins exact de-duplication as one aggregate: no task holds a group of copies."""
+    return _fingerprints(spark, sf_dir).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query(f"WITH {FINGERPRINTS}, f AS (SELECT fp, min(doc_id) AS first FROM fp GROUP BY fp) SELECT source, count(*) AS documents, count(*) FILTER (WHERE doc_id <> first) AS surplus FROM fp JOIN f USING (fp) GROUP BY source")
+def duplicate_groups_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _fingerprints(spark, sf_dir)
+    firsts = d.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.lit(1).alias("first"))
+    joined = d.select("doc_id", "source").join(firsts, "doc_id", "left")
+    return joined.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("first").isNull()).alias("surplus"))
+
+
+@query(rf"WITH {RECORDS} SELECT id, {normal('question')} || '|' || array_to_string(list_transform(options, lambda o: {normal('o')}), '|') || '|' AS fingerprint FROM records")
+def record_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("id", T.fingerprint(F.col("question"), F.col("options")).alias("fingerprint"))
+
+
+@query(rf"WITH {RECORDS} SELECT id, lower(trim(question)) || chr(1) || array_to_string(list_transform(options, lambda o: lower(trim(regexp_replace(o, '\s+', ' ', 'g')))), chr(1)) || chr(1) || lower(answer) || chr(1) || lower(source) AS identity FROM records")
+def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("id", T.identity_key(F.col("question"), F.col("options"), F.col("answer"), F.col("source")).alias("identity"))
+
+
+def _phrases(x: str) -> str:
+    for k, v in T.ABBREVIATIONS.items():
+        x = rf"regexp_replace({x}, '\b{k}\b', '{v}', 'g')"
+    for p in T.STOP_PHRASES:
+        x = rf"regexp_replace({x}, '\b{p}\b', ' ', 'g')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_phrases(normal('text'))} AS semantic FROM documents WHERE lang = 'es'")
+def semantic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", T.semantic_field(F.col("text")).alias("semantic"))
+
+
+# --- filters, counts, orders
+
+
+@query(f"WITH {RECORDS} SELECT id, question, difficulty FROM records WHERE contains(lower(question), 'ar') AND difficulty = 'Hard'")
+def list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.list_filter(records(spark, sf_dir), " AR ", "Hard").select("id", "question", "difficulty")
+
+
+@query(f"WITH {RECORDS} SELECT CASE WHEN difficulty = '' THEN 'Unknown' ELSE difficulty END AS difficulty, count(*) AS n FROM records GROUP BY 1")
+def difficulty_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.difficulty_histogram(records(spark, sf_dir))
+
+
+@query(f"WITH {RECORDS} SELECT DISTINCT difficulty, CASE difficulty WHEN 'Easy' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Hard' THEN 2 ELSE 3 END AS rank FROM records")
+def ordered_difficulties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.ordered_difficulties(records(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS id, p_size % 3 <> 0 AND p_size % 5 > 1 AND p_size % 2 = 0 AS complete FROM part")
+def complete_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completeness of records that lack a question, options or an answer by rule."""
+    p, s = table(spark, sf_dir, "part"), F.col("p_size")
+    options = F.slice(F.array(*[F.concat(F.lit(f"{c}. "), "p_type") for c in "ABCD"]), 1, F.coalesce(s % 5, F.lit(0)))
+    done = R.complete_question(F.when(s % 3 != 0, F.col("p_name")).otherwise(" "), options, F.when(s % 2 == 0, "A"))
+    return p.select(F.col("p_partkey").alias("id"), done.alias("complete"))
+
+
+@query(f"WITH {RECORDS} SELECT id, question, CAST(id AS INT) AS sort_number, row_number() OVER (ORDER BY id) AS place FROM records")
+def question_number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = records(spark, sf_dir).withColumn("sort_number", T.sort_number(F.col("question")))
+    # places from counts by number: no window over the whole table
+    sizes = d.groupBy(F.floor(F.col("sort_number") / 1000).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.g") < F.col("a.g"), "left").groupBy("a.g").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # 1,000 groups: sort numbers end at 999,999
+    d = d.withColumn("g", F.floor(F.col("sort_number") / 1000)).join(before, "g")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("g").orderBy("sort_number", "id"))
+    return d.select("id", "question", "sort_number", place.alias("place"))
+
+
+@query(f"WITH {RECORDS} SELECT source, difficulty, count(*) AS n FROM records GROUP BY ROLLUP (source, difficulty)")
+def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extra: counts by source and difficulty, with subtotals."""
+    return records(spark, sf_dir).rollup("source", "difficulty").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- snapshots and projects
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A saved project and the current records: they overlap, and every seventh answer has changed."""
+    r = records(spark, sf_dir)
+    return r.where("id % 5 != 0"), r.where("id % 3 != 0").withColumn("answer", F.when(F.col("id") % 7 == 0, "A").otherwise(F.col("answer")))
+
+
+HALVES = f"{RECORDS}, project AS (SELECT * FROM records WHERE id % 5 <> 0), current AS (SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN 'A' ELSE answer END AS answer) FROM records WHERE id % 3 <> 0)"
+
+
+@query(f"WITH {HALVES} SELECT id, question, source FROM current WHERE lower(question) NOT IN (SELECT lower(question) FROM project)")
+def project_diff_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.added(*_halves(spark, sf_dir)).select("id", "question", "source")
+
+
+@query(f"WITH {HALVES} SELECT id, question, source FROM project WHERE lower(question) NOT IN (SELECT lower(question) FROM current)")
+def project_diff_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.removed(*_halves(spark, sf_dir)).select("id", "question", "source")
+
+
+@query(f"WITH {HALVES} SELECT c.id, c.question, p.answer AS previous_answer, c.answer AS current_answer FROM current c JOIN project p USING (question) WHERE p.answer <> c.answer")
+def project_diff_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.changed_answers(*_halves(spark, sf_dir)).select("id", "question", "previous_answer", "current_answer")
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS id, arg_max(o_orderstatus, o_orderkey) AS status, min(o_orderkey) AS position FROM orders GROUP BY o_custkey")
+def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("position"))
+    odd = F.col("position") < 2**62
+    return R.upsert(o.where(odd), o.where(~odd))
+
+
+@query(f"WITH {HALVES} SELECT id, question FROM current WHERE id NOT IN (SELECT id FROM project)")
+def append_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    project, current = _halves(spark, sf_dir)
+    return R.append_visible(project, current).select("id", "question")
+
+
+@query("SELECT l_orderkey AS order_key, CAST(max(l_linenumber) + 1 AS INT) AS n_expected, CAST(count(DISTINCT l_linenumber) AS INT) AS n_covered, false AS complete FROM lineitem GROUP BY l_orderkey")
+def coverage_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("number"))
+    expected = li.groupBy("order_key").agg(F.max("number").alias("m")).select("order_key", F.explode(F.sequence(F.lit(1), F.col("m") + 1)).alias("number"))
+    return R.coverage(expected, li, "order_key").select("order_key", "n_expected", "n_covered", "complete")
+
+
+@query(
+    f"WITH {RECORDS}, have AS (SELECT lower(source) AS source, count(*) AS have FROM records GROUP BY 1), parts AS (SELECT DISTINCT p_brand AS part, lower(p_brand) AS source, 40 AS expected FROM part) SELECT part, expected, have FROM parts JOIN have USING (source) WHERE have >= expected"
+)
+def completed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(spark, sf_dir).withColumn("file_id", F.lit(""))
+    parts = r.select(F.col("source").alias("part"), "source", "file_id").distinct().withColumn("expected", F.lit(40))
+    return R.completed_batches(parts, r)
+
+
+# --- similarity
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different parts of one type and size whose lengths differ little: blocking by equal keys."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    a = p.select(F.col("p_partkey").alias("a"), "p_type", "p_size", F.col("name").alias("x"))
+    b = p.select(F.col("p_partkey").alias("b"), "p_type", "p_size", F.col("name").alias("y"))
+    return a.join(b, ["p_type", "p_size"]).where("a < b").select("a", "b", "x", "y")
+
+
+NAME_PAIRS = "pairs AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name || ' ' || a.p_type AS x, b.p_name || ' ' || b.p_type AS y FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)"
+TOKENS = f"toks AS (SELECT a, b, list_filter(string_split({normal('x')}, ' '), lambda t: length(t) > 1) AS u, list_filter(string_split({normal('y')}, ' '), lambda t: length(t) > 1) AS v FROM pairs)"
+
+
+@query(f"WITH {NAME_PAIRS} SELECT a, b, round({lev('x', 'y')}, 9) AS score FROM pairs")
+def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.levenshtein_ratio(F.col("x"), F.col("y")), 9).alias("score"))
+
+
+@query(
+    f"""WITH {NAME_PAIRS}, g AS (SELECT a, b, x, y, list_distinct(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) AS u, list_distinct(list_transform(range(1, length(y) - 1), lambda i: substr(y, i, 3))) AS v FROM pairs)
+    SELECT a, b, round(CASE WHEN x = y THEN 1.0 ELSE 2.0 * len(list_intersect(u, v)) / (len(u) + len(v)) END, 9) AS score FROM g"""
+)
+def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.dice(F.col("x"), F.col("y")), 9).alias("score"))
+
+
+@query(f"WITH {NAME_PAIRS}, {TOKENS}, s AS (SELECT a, b, array_to_string(list_sort(u), ' ') AS p, array_to_string(list_sort(v), ' ') AS q FROM toks) SELECT a, b, round({lev('p', 'q')}, 9) AS score FROM s")
+def token_sort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.token_sort_ratio(F.col("x"), F.col("y")), 9).alias("score"))
+
+
+@query(
+    f"""WITH {NAME_PAIRS}, {TOKENS}, d AS (SELECT a, b, list_distinct(u) AS u, list_distinct(v) AS v FROM toks),
+    s AS (SELECT a, b, len(u) AS nu, len(v) AS nv, len(list_intersect(u, v)) AS nc, array_to_string(list_sort(list_intersect(u, v)), ' ') AS c, array_to_string(list_sort(u), ' ') AS p, array_to_string(list_sort(v), ' ') AS q FROM d)
+    SELECT a, b, round(CASE WHEN nc = 0 THEN 0.0 WHEN nc = nu OR nc = nv THEN 1.0 ELSE greatest({lev('p', 'q')}, {lev('c', 'p')}, {lev('c', 'q')}) END, 9) AS score FROM s"""
+)
+def token_set_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.token_set_ratio(F.col("x"), F.col("y")), 9).alias("score"))
+
+
+@query(f"WITH {RECORDS}, b AS (SELECT source, CAST(length({normal('question')}) // 40 AS INT) AS band, count(*) AS n FROM records GROUP BY ALL) SELECT x.source, sum(x.n * y.n) AS candidates FROM b x JOIN b y ON x.source = y.source AND abs(x.band - y.band) <= 2 GROUP BY x.source")
+def blocked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs the length bands leave to compare, from counts of the bands alone."""
+    bands = records(spark, sf_dir).groupBy("source", F.floor(F.length(T.normalize_field(F.col("question"))) / 40).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    near = bands.select("source", F.explode(F.array(*[F.col("band") + k for k in range(-2, 3)])).alias("band"), F.col("n").alias("m"))
+    return bands.join(near, ["source", "band"]).groupBy("source").agg(F.sum(F.col("n") * F.col("m")).alias("candidates"))
+
+
+def _profile_sql(x: str, rules: list[tuple[str, str]], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{name}'" for name, p in rules) + f" ELSE '{other}' END"
+
+
+INTENTS = [("contraindication", T.CONTRAINDICATION), ("exception", T.EXCEPTION), ("false", T.FALSE_CHOICE), ("negative", T.NEGATIVE)]
+
+
+@query(f"WITH n AS (SELECT doc_id, {normal('text')} AS x FROM documents) SELECT doc_id, {_profile_sql('x', INTENTS, 'none')} AS marker FROM n")
+def intent_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.intent_marker(T.normalize_field(F.col("text"))).alias("marker"))
+
+
+@query(f"WITH n AS (SELECT item_id, {_phrases(normal('text'))} AS x FROM benchmark) SELECT item_id, {_profile_sql('x', T.OBJECTIVES, 'normal')} AS objective FROM n")
+def objective_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", T.objective(T.semantic_field(F.col("text"))).alias("objective"))
+
+
+@query("SELECT item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
+def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark text: candidates share its first eight words, then the whole text is looked for.
+
+    Each text's start is one key, so that the join is on equal keys; the documents' word windows are
+    their candidates.
+    """
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 2, 6), " ").alias("head"))
+    w = F.split("text", r"\s+")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", w.alias("w"))
+    heads = d.where(F.size("w") >= 6).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("head"))
+    met = heads.join(b.select("item_id", "passage", "head"), "head").select("doc_id", "item_id", "passage").distinct()
+    return met.join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+# --- windows, ranges and blocks
+
+
+@query(
+    """WITH p AS (SELECT doc_id, CAST(n_chars // 1500 + 1 AS INT) AS n_pages FROM documents), s AS (SELECT doc_id, n_pages, unnest(range(1, n_pages + 1, 2)) AS st FROM p)
+    SELECT doc_id, n_pages, CAST(st AS INT) AS "start", CAST(least(st + 2, n_pages) AS INT) AS "end" FROM s WHERE st = 1 OR st < n_pages"""
+)
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.page_ranges(table(spark, sf_dir, "documents").select("doc_id", (F.floor(F.col("n_chars") / 1500) + 1).cast("int").alias("n_pages")))
+
+
+@query(
+    """WITH RECURSIVE t(doc_id, n, part, st, done) AS (
+      SELECT doc_id, CAST(length(text) AS BIGINT), 0, CAST(0 AS BIGINT), false FROM documents WHERE length(text) > 0
+      UNION ALL SELECT doc_id, n, part + 1, st + 4000, st + 4000 >= n - 1000 FROM t WHERE NOT done AND st + 4000 < n)
+    SELECT doc_id, part, st AS "start", CASE WHEN done THEN n ELSE least(st + 5000, n) END AS "end" FROM t WHERE st < n"""
+)
+def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
+    return W.text_windows(d, "n", budget=5000, overlap=1000).select("doc_id", "part", F.col("start").cast("long"), F.col("end").cast("long"))
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey AS k, CAST(l_partkey % 50 AS BIGINT) AS s, CAST(l_partkey % 50 + floor(l_quantity / 4) AS BIGINT) AS e FROM lineitem),
+    m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM i),
+    g AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+    SELECT k AS order_key, min(s) AS "start", max(e) AS "end", count(*) AS merged FROM g GROUP BY k, g"""
+)
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    start = F.col("l_partkey") % 50
+    return W.merge_intervals(li.select(F.col("l_orderkey").alias("order_key"), start.cast("long").alias("start"), (start + F.floor(F.col("l_quantity") / 4)).cast("long").alias("end")), ["order_key"])
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+LINES = "lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
+
+
+@query(f"WITH {LINES}, s AS (SELECT doc_id, line_no, sum(CASE WHEN regexp_matches(line, '^[AT]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM lines) SELECT doc_id, CAST(block AS BIGINT) AS block, count(*) AS n_lines, CAST(min(line_no) AS INT) AS first_line FROM s GROUP BY ALL")
+def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = W.segments(_lines(spark, sf_dir), "doc_id", "line_no", F.col("line").rlike("^[AT]"))
+    return d.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, count(DISTINCT nullif(regexp_extract(line, '^[A-E]'), '')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) >= 2 AS has_options_ahead FROM lines")
+def options_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.options_ahead(_lines(spark, sf_dir), "doc_id", "line_no", F.regexp_extract("line", "^[A-E]", 0)).select("doc_id", "line_no", "has_options_ahead")
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(line_no // 5 AS INT) AS chunk, count(*) AS n_blocks, string_agg(line, chr(10) || chr(10) ORDER BY line_no) AS text FROM lines GROUP BY doc_id, line_no // 5")
+def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.chunks(_lines(spark, sf_dir), "doc_id", "line_no", 5, "line")
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, length(lag(line) OVER w) AS before, length(lead(line) OVER w) AS after FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)")
+def page_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = W.neighbours(_lines(spark, sf_dir), "doc_id", "line_no", "line")
+    return d.select("doc_id", "line_no", F.length("previous").cast("long").alias("before"), F.length("next").cast("long").alias("after"))
+
+
+USUAL = r"""[\p{L}\p{N}.,;:!?()\[\]{}''"%+\-=/<>°–—_`~^&|#@*$✓✔☑✅]"""
+
+
+@query(
+    rf"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS t FROM documents),
+    m AS (SELECT doc_id, length(t) AS chars, len(list_filter(string_split_regex(t, '\n+'), lambda l: trim(l) <> '')) AS n_lines, regexp_replace(t, '\s', '', 'g') AS c FROM p)
+    SELECT doc_id, chars, CAST(n_lines AS INT) AS n_lines, round(CASE WHEN c = '' THEN 1.0 ELSE length(regexp_replace(c, '{USUAL}', '', 'g')) / CAST(length(c) AS DOUBLE) END, 9) AS strange,
+           CASE WHEN chars < 120 THEN 'scanOrEmpty' WHEN n_lines > 40 AND chars / CAST(n_lines AS DOUBLE) < 18 THEN 'table' ELSE 'text' END AS kind FROM m"""
+)
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.regexp_replace(F.regexp_replace("text", r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(t, r"^[ \n]+|[ \n]+\z", "").alias("t"))
+    d = d.select("doc_id", "t", F.length("t").cast("long").alias("chars"), F.size(F.filter(F.split("t", r"\n+"), lambda x: F.trim(x) != "")).alias("n_lines"))
+    kind = F.when(F.col("chars") < 120, "scanOrEmpty").when((F.col("n_lines") > 40) & (F.col("chars") / F.col("n_lines") < 18), "table").otherwise("text")
+    return d.select("doc_id", "chars", "n_lines", F.round(T.strange_ratio(F.col("t")), 9).alias("strange"), kind.alias("kind"))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT l_orderkey AS k, l_linenumber + CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END AS x FROM lineitem),
+    g AS (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS g FROM n), c AS (SELECT k, g, count(*) AS run FROM g GROUP BY k, g) SELECT k AS order_key, CAST(max(run) AS INT) AS longest FROM c GROUP BY k"""
+)
+def marker_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest run of question numbers that follow each other, by a fold over the sorted numbers."""
+    number = F.col("l_linenumber") + F.when(F.col("l_linenumber") > 3, 1).otherwise(0)
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.array_sort(F.collect_set(number)).alias("n"))
+    return d.select("order_key", W.longest_run(F.col("n")).cast("int").alias("longest"))
+
+
+@query("SELECT p_partkey AS id, 'case ' || min(c.o_orderkey) AS stem FROM part LEFT JOIN (SELECT o_orderkey, CAST(o_orderkey % 40 AS INT) AS s, CAST(o_orderkey % 40 + 2 AS INT) AS e FROM orders WHERE o_orderkey < 20) c ON p_size BETWEEN c.s AND c.e GROUP BY p_partkey")
+def range_join_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    start = (F.col("o_orderkey") % 40).cast("int")
+    c = table(spark, sf_dir, "orders").where("o_orderkey < 20").select(F.concat(F.lit("case "), F.col("o_orderkey").cast("string")).alias("stem"), start.alias("start"), (start + 2).alias("end"), F.col("o_orderkey").alias("pos"))
+    return R.first_interval(p, c, "p_size", "pos", ["stem"]).select("id", "stem")
+
+
+@query(
+    "WITH key AS (SELECT CAST(o_custkey AS BIGINT) AS number, arg_max(substr('ABCDE', CAST(o_orderkey % 5 + 1 AS INT), 1), o_orderkey) AS letter FROM orders GROUP BY o_custkey) SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'E' ELSE coalesce(letter, '') END AS answer FROM customer LEFT JOIN key ON c_custkey = number"
+)
+def answer_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("qn"), F.when(F.col("c_custkey") % 4 == 0, "E").otherwise("  ").alias("answer"))
+    key = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("number"), F.substring(F.lit("ABCDE"), (F.col("o_orderkey") % 5 + 1).cast("int"), F.lit(1)).alias("letter"), F.col("o_orderkey").alias("position"))
+    return R.apply_answer_key(c, key, "qn").select("id", "answer")
+
+
+# --- pages
+
+
+@query(
+    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages"""
+)
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</(script|style)\s*>", " "), "<[^>]*>", " ")
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(x, r"\s+", " ")).alias("text"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|iframe|object|embed|link|meta)\b[^>]*>(.*?</(script|style|iframe|object|embed)\s*>)?', '', 'g'), '(?i)\son[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g') AS html FROM pages""")
+def html_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.regexp_replace("html", r"(?is)<(script|style|iframe|object|embed|link|meta)\b[^>]*>(.*?</(script|style|iframe|object|embed)\s*>)?", "")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(x, r"""(?i)\son[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "").alias("html"))
+
+
+# --- policies and events
+
+
+KIND_SQL = "CASE event_id % 9 WHEN 0 THEN 'rateLimit' WHEN 1 THEN 'rateLimit' WHEN 2 THEN 'serverBusy' WHEN 3 THEN 'format' WHEN 4 THEN 'empty' WHEN 5 THEN 'auth' WHEN 6 THEN 'format' WHEN 7 THEN 'auth' ELSE 'fatal' END"
+
+
+def _signs(signs: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(m, '{s}')" for s in signs) + ")"
+
+
+CLASSIFIED = f"""kinds AS (SELECT *, CASE WHEN {_signs(policy.INVALID_KEY)} OR contains(m, 'invalid_grant') OR (contains(m, 'token') AND {_signs(['expired', 'hết hạn'])}) THEN 'auth'
+  WHEN {_signs(policy.TOO_LARGE)} OR status = 413 THEN 'format' WHEN {_signs(policy.NO_CHANNEL)} THEN 'fatal' WHEN status = 400 OR contains(m, 'invalid_argument') THEN 'fatal'
+  WHEN status = 429 OR {_signs(policy.RATE_LIMIT)} THEN 'rateLimit' WHEN status IN (401, 403) OR regexp_matches(m, '\\b(?:401|403)\\b') OR {_signs(policy.NO_ACCESS)} THEN 'auth'
+  WHEN status IN (503, 504) OR {_signs(policy.BUSY)} THEN 'serverBusy' WHEN {_signs(policy.EMPTY)} THEN 'empty' WHEN {_signs(policy.MALFORMED)} THEN 'format' ELSE 'fatal' END AS kind
+  FROM (SELECT *, lower(message) AS m FROM failures))"""
+
+
+@query(f"WITH {FAILURES}, {CLASSIFIED} SELECT event_id, kind FROM kinds")
+def retry_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return failures(spark, sf_dir).select("event_id", policy.classify_error(F.col("message"), F.col("status")).alias("kind"))
+
+
+@query(
+    f"""WITH {FAILURES}, {CLASSIFIED}, c AS (SELECT *, CASE WHEN kind = 'auth' THEN 'auth' WHEN status = 413 OR {_signs(policy.TOO_LARGE)} THEN 'requestTooLarge'
+      WHEN kind = 'rateLimit' THEN CASE WHEN NOT {_signs(policy.TRANSIENT)} AND {_signs(policy.HARD_QUOTA)} AND delay_hint <= 0 THEN 'hardQuota' ELSE 'softRateLimit' END ELSE kind END AS cause FROM kinds)
+    SELECT event_id, cause, CASE WHEN cause IN ('auth', 'hardQuota', 'fatal') THEN 'fail' WHEN cause = 'requestTooLarge' THEN 'split' WHEN cause = 'softRateLimit' THEN 'retry'
+      WHEN attempts >= 2 THEN 'split' ELSE 'retry' END AS action FROM c"""
+)
+def retry_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cause, action = policy.retry_decision(F.col("message"), F.col("status"), F.col("attempts"), F.col("delay_hint"))
+    return failures(spark, sf_dir).select("event_id", cause.alias("cause"), action.alias("action"))
+
+
+@query("SELECT event_id, CAST(least(45000.0, 3500.0 * pow(2.0, event_id % 6)) * 0.5 AS DOUBLE) AS delay_ms FROM events")
+def backoff_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    ms = policy.backoff_ms(F.lit("serverBusy"), (F.col("event_id") % 6 + 1), F.lit(0), F.lit(False), F.lit(0.5))
+    return e.select("event_id", ms.alias("delay_ms"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("sec"))
+    return W.rolling_count(e, ["user_id"], "sec").select("event_id", "in_window")
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s FROM events),
+    n AS (SELECT *, CASE WHEN s - lag(s) OVER w > 86400 OR lag(s) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
+    g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS g FROM n)
+    SELECT event_id, row_number() OVER (PARTITION BY user_id, g ORDER BY s, event_id) AS streak FROM g"""
+)
+def pressure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("sec"))
+    return W.streaks(e, "user_id", ["sec", "event_id"], "sec", 86_400).select("event_id", F.col("streak").cast("long").alias("streak"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    r(user_id, i, a) AS (SELECT user_id, i, value FROM e WHERE i = 1 UNION ALL SELECT r.user_id, e.i, r.a * 0.8 + e.value * 0.2 FROM r JOIN e ON r.user_id = e.user_id AND e.i = r.i + 1)
+    SELECT user_id, round(arg_max(a, i), 6) AS average FROM r GROUP BY user_id"""
+)
+def latency_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.moving_average(table(spark, sf_dir, "events"), "user_id", ["event_id"], "value").select("user_id", F.round("average", 6).alias("average"))
+
+
+@query(
+    f"""WITH {FAILURES}, l AS (SELECT message, event_type AS label, min(event_id) AS first_at, count(*) AS n FROM failures GROUP BY ALL)
+    SELECT message, string_agg(label, ', ' ORDER BY first_at, label) AS labels, CAST(sum(n) AS BIGINT) AS failures, min(first_at) AS first_idx FROM l GROUP BY message"""
+)
+def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.failure_summary(failures(spark, sf_dir).select("message", F.col("event_type").alias("label"), F.col("event_id").alias("idx")))
+
+
+@query("SELECT user_id, count(*) AS slow FROM events WHERE value >= 50 AND event_type LIKE 'c%' GROUP BY user_id HAVING count(*) >= 3")
+def slow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where((F.col("value") >= 50) & F.col("event_type").startswith("c"))
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("slow")).where("slow >= 3")
+
+
+# --- export
+
+
+@query(
+    f"""WITH {RECORDS} SELECT id, '"' || replace(regexp_replace(question, '^Cau \\d+\\. ', ''), '"', '""') || '"' AS question, '"' || replace(p_brand, '"', '""') || '"' AS a,
+    '"' || substr('ABCD', CAST(id % 4 + 1 AS INT), 1) || '"' AS correct FROM records JOIN part ON p_partkey = id"""
+)
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.sources.export import quoted
+
+    r = records(spark, sf_dir)
+    letter = T.correct_letter(F.col("options"), F.col("answer"), F.coalesce("answer", F.lit("A")))
+    question = F.regexp_replace("question", r"^Cau \d+\. ", "")
+    return r.select("id", quoted(question).alias("question"), quoted(T.clean_option(F.get("options", F.lit(0)))).alias("a"), quoted(letter).alias("correct"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, CAST(ceil(length(text) / 3.6) AS BIGINT) AS tokens FROM documents")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), T.text_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN length(x) > 220 THEN trim(substr(x, 1, 220)) || '...' ELSE x END AS snippet FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\[[^\\]\\n]{0,180}\\]\\s*', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM documents)")
+def source_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query("SELECT page_id, trim(regexp_replace(url, '[^a-zA-Z0-9_-]+', '_', 'g'), '_') AS name FROM pages")
+def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.download_name(F.col("url")).alias("name"))
