@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,9 +33,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared checkpoint folder, so that a lost executor costs no recomputation of it."""
     checkpoint_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that shuffle files and checkpoints of plans that are gone leave the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The same as a Parquet table in that folder, for rows with texts."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
