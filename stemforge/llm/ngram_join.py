@@ -8,9 +8,8 @@ shorter).  Documents link when 100 * intersection >= 75 * union.
    compared with the smallest and the largest only, and union-find labels what is linked.
 3. All other links are found by prefixes.  Shingles have one order: rare ones by hash, then frequent
    ones by frequency.  If two sets link, their first n - ceil(0.75 n) + l shingles share l at least,
-   for every l.  Each document picks its l by the estimated cost of its candidates (the
-   frequencies in the prefix, against how many candidates l matches leave), and a pair is verified
-   if it shares as many prefix shingles as the smaller l of the two.  Pairs within one label of step 2
+   for every l.  Each document picks its l, a power of two, by the estimated cost: the postings in
+   the prefix, and verifying the candidates that l matches leave.  A pair is verified if it shares as many prefix shingles as the smaller l of the two.  Pairs within one label of step 2
    need no check, as they are in one component already.
 4. Verified links join the labels to components.
 
@@ -41,9 +40,10 @@ BANDS, BAND_HASHES = 4, 2
 #: Shingles so frequent in one batch are counted over all of them; the most frequent are ordered last.
 BATCH_FREQUENT = 8
 FREQUENT_KEPT = 100_000
-#: Verifying a candidate costs as much as reading so many postings.
-VERIFY_COST = 20.0
-MOST_MATCHES = 8
+#: Verifying a candidate costs as much as reading this share of its set in postings, as both sets travel.
+VERIFY_SHARE = 0.25
+#: How often a shingle that is not known as frequent is expected in other sets.
+ELSEWHERE = 0.3
 #: Prefix shingles that one task sorts.
 RANGE_POSTINGS = 1_500_000
 #: Ids up to which a list is broadcast; beyond, it is shuffled.
@@ -125,15 +125,15 @@ def choose_prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray
     order = np.argsort(df, kind="stable")  # ties stay in the order of their hashes
     must = least_overlap(n, per_cent)
     base = n - must
-    matches = 1
-    if df[order[min(base, n - 1)]] > 1:
-        read = np.cumsum(df[order])
-        best = math.inf
-        for k in range(1, min(MOST_MATCHES, must) + 1):
-            p = base + k
-            cost = read[p - 1] + VERIFY_COST * (read[p - 1] - p) / k
-            if cost < best:
-                best, matches = cost, k
+    matches, best = 1, math.inf
+    read = np.cumsum(df[order] + ELSEWHERE)
+    k = 1
+    while k <= must:
+        p = base + k
+        cost = read[p - 1] + VERIFY_SHARE * n * (read[p - 1] - p) / k
+        if cost < best:
+            best, matches = cost, k
+        k *= 2
     prefix = order[: base + matches]
     return shingles[prefix], df[prefix] > 1, matches
 
@@ -153,7 +153,7 @@ def postings(docs: DataFrame, id_column: str, text_column: str, frequent, ranges
                         k0 = set_key(s)[0]
                         tokens.append(prefix)
                         keys.append(np.full(len(prefix), k0, np.int64))
-                        needs.append(np.full(len(prefix), matches, np.int8))
+                        needs.append(np.full(len(prefix), matches, np.int32))
                         where.append(np.where(often, ranges + k0 % ranges, (prefix % np.uint64(ranges)).astype(np.int64)))
                 if not tokens:
                     continue
@@ -174,7 +174,7 @@ def shared_postings(packed: DataFrame, ranges: int) -> DataFrame:
     """token, k0 and matches of the prefix shingles that two sets at least have; all frequent ones."""
 
     def group(table: pa.Table) -> pa.Table:
-        t, k, m = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in (("tokens", np.int64), ("keys", np.int64), ("needs", np.int8)))
+        t, k, m = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in (("tokens", np.int64), ("keys", np.int64), ("needs", np.int32)))
         order = np.lexsort((k, t))
         t, k, m = t[order], k[order], m[order]
         new = np.ones(len(t), bool)
@@ -244,8 +244,8 @@ def join_ngrams(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     nodes = materialize(reps.join(early.withColumnRenamed("node", "rep"), "rep", "left").select("k0", "k1", "rep", "n", F.coalesce("component", "rep").alias("label")))
 
     # all others: prefixes
-    total = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * per_cent / 100) + MOST_MATCHES)).first()[0] or 0
-    ranges = max(8, math.ceil(total / RANGE_POSTINGS))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    ranges = max(8, math.ceil(total / 2 / RANGE_POSTINGS))  # prefixes are about half of the sets
     packed = postings(docs, id_column, text_column, frequent_shingles(sketches), ranges, width, per_cent)
     pairs = materialize(prefix_pairs(shared_postings(packed, ranges), nodes, per_cent))
     late = verified(docs, pairs, id_column, text_column, width, per_cent)
