@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stemforge.functions import text as T
 from stemforge.operators import policy, records as R, windows as W
-from stemforge.plans.synth import FAILURES, RECORDS, failures, records, table
+from stemforge.plans.synth import FAILURES, RECORDS, document_records, failures, records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,7 +444,7 @@ def backoff_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS in_window FROM events")
 def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("sec"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("sec"))
     return W.rolling_count(e, ["user_id"], "sec").select("event_id", "in_window")
 
 
@@ -455,7 +455,7 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, row_number() OVER (PARTITION BY user_id, g ORDER BY s, event_id) AS streak FROM g"""
 )
 def pressure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("sec"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("sec"))
     return W.streaks(e, "user_id", ["sec", "event_id"], "sec", 86_400).select("event_id", F.col("streak").cast("long").alias("streak"))
 
 
@@ -511,3 +511,111 @@ def source_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, trim(regexp_replace(url, '[^a-zA-Z0-9_-]+', '_', 'g'), '_') AS name FROM pages")
 def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.download_name(F.col("url")).alias("name"))
+
+
+# --- operators that SQL does not express: rows only, held against unit tests
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers made of records, ten in each; every third answer breaks off."""
+    r = records(spark, sf_dir).withColumn("batch_no", F.floor(F.col("id") / 10).cast("int"))
+    one = F.to_json(F.struct("question", "options", F.col("answer").alias("correctAnswer"), "difficulty"))
+    d = r.groupBy("batch_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", one.alias("j")))), lambda x: x["j"]), ",").alias("body"))
+    whole = F.concat(F.lit('{"questions":['), "body", F.lit("]}"))
+    return d.select("batch_no", F.when(F.col("batch_no") % 3 == 0, F.expr("substring(concat('{\"questions\":[', body, ']}'), 1, length(body) - 50)")).otherwise(whole).alias("text"))
+
+
+@query("WITH n AS (SELECT CAST(p_partkey // 10 AS INT) AS batch_no, count(*) AS n FROM part GROUP BY 1) SELECT batch_no, CAST(CASE WHEN batch_no % 3 = 0 THEN n - 1 ELSE n END AS BIGINT) AS questions, batch_no % 3 = 0 AS salvaged FROM n WHERE n > 1")
+def salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.functions.modeljson import parse_responses
+
+    sizes = records(spark, sf_dir).groupBy(F.floor(F.col("id") / 10).cast("int").alias("batch_no")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    d = parse_responses(_responses(spark, sf_dir).join(sizes.select("batch_no"), "batch_no"))
+    return d.select("batch_no", F.size("questions").cast("long").alias("questions"), "salvaged")
+
+
+@query("SELECT CAST(p_partkey // 10 AS INT) AS doc_id, count(*) AS questions, count(*) AS answered FROM part GROUP BY 1")
+def parse_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.operators.segments import questions
+
+    r = records(spark, sf_dir).withColumn("doc_id", F.floor(F.col("id") / 10).cast("int"))
+    block = F.concat("question", F.lit("\n"), F.array_join("options", "\n"), F.lit("\nAnswer: "), "answer")
+    d = r.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
+    return questions(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("answer") != "").alias("answered"))
+
+
+@query()
+def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.operators.dedupe import dedupe
+
+    return dedupe(document_records(spark, sf_dir)).select("id", "action", "matched_with", F.round("composite", 9).alias("composite"))
+
+
+@query()
+def partial_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.functions.similarity import partial_ratio_udf
+
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(partial_ratio_udf(T.normalize_field(F.col("x")), T.normalize_field(F.col("y"))), 9).alias("score"))
+
+
+@query()
+def split_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.operators.segments import split_udf
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_udf("text")).alias("part", "text"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of 1,500 characters."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return d.select(F.col("doc_id").cast("string").alias("file_id"), F.explode(F.sequence(F.lit(1), F.ceil(F.length("text") / 1500).cast("int"))).alias("page"), "text").select("file_id", "page", F.expr("substring(text, (page - 1) * 1500 + 1, 1500)").alias("text"))
+
+
+@query()
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.operators.pdf import score_pages
+
+    return score_pages(_pages(spark, sf_dir)).select("file_id", "page", "chars", "n_lines", "n_questions", "n_options", "table_risk", "quality")
+
+
+@query()
+def pdf_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.operators.pdf import boundary_risks, score_pages, vision_ranges
+
+    pages = score_pages(_pages(spark, sf_dir))
+    return vision_ranges(pages, boundary_risks(pages))
+
+
+@query()
+def marker_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.operators.pdf import marker_estimate as estimate
+
+    d = records(spark, sf_dir).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "question"))), lambda x: x["question"]), "\n").alias("text"))
+    return d.select("source", estimate(F.col("text")).alias("e")).select("source", "e.confidence", "e.count", "e.duplicates", "e.markers", "e.run")
+
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS at, epoch_us(ts) // 1000 AS admitted_at FROM events")
+def request_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a limit that these events never reach each request is admitted as it comes."""
+    from stemforge.streaming.keys import admissions
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("at"))
+    return admissions(e, 600)
+
+
+@query("WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id % 4 <> 0 AS ok FROM events) SELECT key, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE NOT ok) AS failures FROM e GROUP BY key")
+def key_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemforge.streaming.keys import key_health as health
+
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_id") % 4 != 0, "ok").otherwise(F.when(F.col("event_id") % 8 == 0, "rateLimit").otherwise("serverBusy"))
+    d = e.select(F.col("user_id").cast("string").alias("key"), "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("at"), kind.alias("kind"), F.col("value").alias("latency_ms"), F.lit(None).cast("long").alias("retry_after_ms"))
+    return health(d).select("key", "successes", "failures")
+
+
+@query()
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extra: sessions of events in batch, by the function that streams use."""
+    from stemforge.streaming.records import sessions
+
+    return sessions(table(spark, sf_dir, "events"), gap="1 day").select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")

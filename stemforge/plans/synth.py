@@ -35,6 +35,14 @@ records AS (
   FROM part)"""
 
 
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each document: its first line as the question, words of its text as options."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    w = F.split("text", r"\s+")
+    options = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.substring(F.lit("ABCD"), i + 1, F.lit(1)), F.lit(". "), F.coalesce(F.get(w, i * 2 + 1), F.lit("")), F.lit(" "), F.coalesce(F.get(w, i * 2 + 2), F.lit(""))))
+    return d.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("question"), options.alias("options"), F.lit("A").alias("answer"), F.col("source"), F.col("doc_id").alias("position"))
+
+
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One error for each event: message and status by its type."""
     e = table(spark, sf_dir, "events")
