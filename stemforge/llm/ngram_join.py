@@ -5,12 +5,13 @@ shorter).  Documents link when 100 * intersection >= 75 * union.
 
 1. Equal sets are one class, named by 128 bits and represented by its smallest id.
 2. Groups of near copies are joined early: of the representatives that share a MinHash band each is
-   compared with the smallest and the largest only, and union-find labels what is linked.
+   compared with the smallest and the most connected only, and union-find labels what is linked.
 3. All other links are found by prefixes.  Shingles have one order: rare ones by hash, then frequent
    ones by frequency.  If two sets link, their first n - ceil(0.75 n) + l shingles share l at least,
    for every l.  Each document picks its l, a power of two, by the estimated cost: the postings in
    the prefix, and verifying the candidates that l matches leave.  A pair is verified if it shares as many prefix shingles as the smaller l of the two.  Pairs within one label of step 2
-   need no check, as they are in one component already.
+   need no check, as they are in one component already, and of the other pairs of a document and a
+   label the best is verified first: if it links, the rest need none.
 4. Verified links join the labels to components.
 
 Nothing is capped or sampled: frequencies steer the order and l only, any order finds all links.
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from stemforge.llm.components import components, salted_join
 
 WIDTH = 5
 PER_CENT = 75
-BANDS, BAND_HASHES = 4, 2
+BANDS, BAND_HASHES = 6, 2
 #: Shingles so frequent in one batch are counted over all of them; the most frequent are ordered last.
 BATCH_FREQUENT = 8
 FREQUENT_KEPT = 100_000
@@ -192,7 +192,7 @@ def shared_postings(packed: DataFrame, ranges: int) -> DataFrame:
 
 
 def prefix_pairs(shared: DataFrame, nodes: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """Pairs a, b of representatives of different labels that share as many prefix shingles as they must."""
+    """Pairs a, b of representatives with their labels la, lb, which differ, that share as many prefix shingles as they must."""
     rows = shared.join(nodes.select("k0", "rep", "label", "n"), "k0").select("token", "rep", "label", "n", "matches").distinct()
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
     rows = materialize(salted_join(rows, mixed, ["token"], F.col("rep")))
@@ -200,7 +200,7 @@ def prefix_pairs(shared: DataFrame, nodes: DataFrame, per_cent: int = PER_CENT)
     sized = (F.col("n_a") * 100 >= F.col("n_b") * per_cent) & (F.col("n_b") * 100 >= F.col("n_a") * per_cent)
     met = a.join(b, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & sized)
     need = F.least(F.max("matches_a"), F.max("matches_b"))
-    return met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), need.alias("need")).where("met >= need").select("a", "b")
+    return met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), need.alias("need"), F.min("label_a").alias("la"), F.min("label_b").alias("lb")).where("met >= need")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, id_column: str, text_column: str, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
@@ -235,9 +235,12 @@ def join_ngrams(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     classes = full.groupBy("k0", "k1").agg(F.min("id").alias("rep"))
     reps = materialize(full.join(classes, ["k0", "k1"]).where("id = rep").select("k0", "k1", "rep", "n", "bands").dropDuplicates(["k0", "k1"]))
 
-    # near copies: members of a band against its smallest and largest
+    # near copies: members of a band against its most connected and its smallest
     rows = reps.select("rep", F.explode("bands").alias("band"))
-    ends = rows.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).where("size > 1")
+    rows = salted_join(rows, sizes, ["band"], F.col("rep"))
+    rows = materialize(rows.join(rows.groupBy("rep").agg(F.sum("size").alias("met")), "rep"))
+    ends = rows.groupBy("band").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("high"))
     met = salted_join(rows, ends, ["band"], F.col("rep")).select("rep", F.explode(F.array("low", "high")).alias("b")).where("rep != b")
     near = materialize(met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct())
     early = materialize(components(verified(docs, near, id_column, text_column, width, per_cent)))
@@ -248,9 +251,15 @@ def join_ngrams(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     ranges = max(8, math.ceil(total / 2 / RANGE_POSTINGS))  # prefixes are about half of the sets
     packed = postings(docs, id_column, text_column, frequent_shingles(sketches), ranges, width, per_cent)
     pairs = materialize(prefix_pairs(shared_postings(packed, ranges), nodes, per_cent))
-    late = verified(docs, pairs, id_column, text_column, width, per_cent)
-    label = nodes.select("rep", "label")
-    late = reduce(lambda d, c: d.join(label.select(F.col("rep").alias(c), F.col("label").alias("l" + c)), c), ("a", "b"), late)
+    # the best partner of each label first: what that joins needs no more partners of the label
+    order = F.struct("met", -F.col("b"))
+    best = materialize(pairs.groupBy("a", "lb").agg(F.max_by("b", order).alias("b"), F.max_by("la", order).alias("la")))
+    first = materialize(verified(docs, best.select("a", "b"), id_column, text_column, width, per_cent).join(best, ["a", "b"]).select("la", "lb"))
+    joined = materialize(components(first.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+    now = lambda label: joined.select(F.col("node").alias(label), F.col("component").alias("c" + label))
+    rest = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(now("la"), "la", "left").join(now("lb"), "lb", "left")
+    rest = materialize(rest.where(F.coalesce("cla", "la") != F.coalesce("clb", "lb")).select("a", "b", "la", "lb"))
+    late = verified(docs, rest.select("a", "b"), id_column, text_column, width, per_cent).join(rest, ["a", "b"]).select("la", "lb").unionByName(first)
     last = components(late.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     final = nodes.join(last.withColumnRenamed("node", "label"), "label", "left").select("k0", "k1", F.coalesce("component", "label").alias("component_id"))
     out = salted_join(sketches.select("id", "n", "k0", "k1"), final, ["k0", "k1"], F.col("id"), "left")
