@@ -53,3 +53,24 @@ def test_sessions_and_settings(spark):
     assert B.normalize_settings({"provider": "other", "rpm_limit": "900"})["rpm_limit"] == 600
     f = spark.createDataFrame([("b", "2", None), ("a", "1", None)], "name string, content_hash string, content string")
     assert B.files_hash(f).first()[0] == B.files_hash(f.orderBy("name")).first()[0]
+
+
+def test_review_helpers(spark):
+    from stemforge.operators import review as V
+
+    schema = "id long, question string, options array<string>, answer string, position long"
+    options = ["A. Tăng huyết áp", "B. Đái tháo đường", "C. Suy tim", "D. Viêm phổi"]
+    project = spark.createDataFrame([(1, "Câu 1. Nguyên nhân thường gặp nhất của đau ngực cấp là bệnh nào", options, "A", 1)], schema)
+    current = spark.createDataFrame([(7, "Cau 5: NGUYEN NHAN thuong gap nhat cua dau nguc cap la benh nao?", options, "A", 1), (8, "Thuốc hạ sốt cho trẻ em", ["A. x", "B. y"], "A", 2)], schema)
+    found, skipped = V.likely_duplicates(project, current)
+    assert not skipped and [(r["id"], r["matched_with"]) for r in found.collect()] == [("7", "1")]
+    assert V.likely_duplicates(project, current, pair_limit=1) == (None, True)
+    assert [r["id"] for r in V.changed_rows(current, current.where("id = 7"), "id", ["question", "answer"]).collect()] == [8]
+    review = spark.createDataFrame([(9, 7, "replace", "neu", ["A. z"], "A", 3), (10, 8, "skip", "s", ["A. z"], "A", 4), (11, 8, "restore", "r", ["A. z"], "A", 5)], "id long, matched_id long, choice string, question string, options array<string>, answer string, position long")
+    got = {r["id"]: r["question"] for r in V.resolve_duplicates(current, review).collect()}
+    assert got == {7: "neu", 8: "Thuốc hạ sốt cho trẻ em", 11: "r"}
+    files = spark.createDataFrame([("f1", "a.pdf", 1), ("f2", "b.pdf", 2)], "id string, name string, position int")
+    traced = spark.createDataFrame([(1, "b.pdf"), (2, "none")], "id int, trace_file string")
+    assert {r["id"]: r["file"] for r in V.source_file(traced, files).collect()} == {1: "f2", 2: "f1"}
+    stems = spark.createDataFrame([(1, "Benh nhan nam", 0), (1, "Bệnh nhân nam 60 tuổi", 1)], "k int, stem string, position int")
+    assert V.best_stem(stems, "k").first()["stem"].startswith("Bệnh")
