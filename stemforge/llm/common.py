@@ -62,7 +62,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(each, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `most` bytes, one row at least, so that results are handed on in small pieces."""
     n = batch.num_rows
     if not n:
