@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised step holds; longer texts are cut at white space.
 SLICE_BYTES = 2_000_000
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared checkpoint folder, so that a lost executor costs no recomputation of it."""
     checkpoint_dir(df.sparkSession)
     release(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # a checkpoint keeps its plan's constraints, and over several of them these multiply beyond the driver's memory
+    conf = df.sparkSession.conf
+    before = conf.get(CONSTRAINTS, "true")
+    conf.set(CONSTRAINTS, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(CONSTRAINTS, before)
 
 
 def release(spark: SparkSession) -> None:
