@@ -166,13 +166,13 @@ def _guarded(x: Column, y: Column, ratio: Column) -> Column:
     return F.when(none, F.when(F.size(x) == F.size(y), 1.0).otherwise(0.0)).otherwise(ratio)
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    x, y = tokens(a), tokens(b)
+def sort_ratio_of(x: Column, y: Column) -> Column:
+    """Token-sort ratio of two token arrays, best made once for each record."""
     return _guarded(x, y, levenshtein_ratio(_joined(x), _joined(y)))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
+def set_ratio_of(x: Column, y: Column) -> Column:
+    """Token-set ratio of two arrays of distinct tokens."""
     common = F.array_intersect(x, y)
     within = (F.size(common) == F.size(x)) | (F.size(common) == F.size(y))
     c, p, q = _joined(common), _joined(x), _joined(y)
@@ -180,6 +180,14 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return _guarded(x, y, F.when(F.size(common) == 0, 0.0).when(within, 1.0).otherwise(best))
 
 
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    return sort_ratio_of(tokens(a), tokens(b))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    return set_ratio_of(F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))
+
+
 def token_ratio(a: Column, b: Column) -> Column:
     return F.greatest(token_sort_ratio(a, b), token_set_ratio(a, b))
 

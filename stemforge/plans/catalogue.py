@@ -201,9 +201,10 @@ def completed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different parts of one type and size whose lengths differ little: blocking by equal keys."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    a = p.select(F.col("p_partkey").alias("a"), "p_type", "p_size", F.col("name").alias("x"))
-    b = p.select(F.col("p_partkey").alias("b"), "p_type", "p_size", F.col("name").alias("y"))
-    return a.join(b, ["p_type", "p_size"]).where("a < b").select("a", "b", "x", "y")
+    p = p.withColumn("tokens", T.tokens(F.col("name")))  # once for each part, not for each pair
+    a = p.select(F.col("p_partkey").alias("a"), "p_type", "p_size", F.col("name").alias("x"), F.col("tokens").alias("u"))
+    b = p.select(F.col("p_partkey").alias("b"), "p_type", "p_size", F.col("name").alias("y"), F.col("tokens").alias("v"))
+    return a.join(b.repartition("p_type", "p_size"), ["p_type", "p_size"]).where("a < b").select("a", "b", "x", "y", "u", "v")
 
 
 NAME_PAIRS = "pairs AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name || ' ' || a.p_type AS x, b.p_name || ' ' || b.p_type AS y FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)"
@@ -225,7 +226,7 @@ def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NAME_PAIRS}, {TOKENS}, s AS (SELECT a, b, array_to_string(list_sort(u), ' ') AS p, array_to_string(list_sort(v), ' ') AS q FROM toks) SELECT a, b, round({lev('p', 'q')}, 9) AS score FROM s")
 def token_sort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.token_sort_ratio(F.col("x"), F.col("y")), 9).alias("score"))
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.sort_ratio_of(F.col("u"), F.col("v")), 9).alias("score"))
 
 
 @query(
@@ -234,7 +235,7 @@ def token_sort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a, b, round(CASE WHEN nc = 0 THEN 0.0 WHEN nc = nu OR nc = nv THEN 1.0 ELSE greatest({lev('p', 'q')}, {lev('c', 'p')}, {lev('c', 'q')}) END, 9) AS score FROM s"""
 )
 def token_set_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.token_set_ratio(F.col("x"), F.col("y")), 9).alias("score"))
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.set_ratio_of(F.array_distinct("u"), F.array_distinct("v")), 9).alias("score"))
 
 
 @query(f"WITH {RECORDS}, b AS (SELECT source, CAST(length({normal('question')}) // 40 AS INT) AS band, count(*) AS n FROM records GROUP BY ALL) SELECT x.source, sum(x.n * y.n) AS candidates FROM b x JOIN b y ON x.source = y.source AND abs(x.band - y.band) <= 2 GROUP BY x.source")
