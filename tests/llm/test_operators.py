@@ -183,6 +183,17 @@ def test_line_ties_and_repeated_rows(spark):
     assert {r["doc_id"]: r["removed"] for r in line_dedup.report(d).collect()} == {5: [0], 3: [], 9: []}
 
 
+def test_similar_lines_within_a_crowded_band(spark):
+    """All lines share most of a passage but not enough to link; each has one near copy, in the middle of their bands."""
+    r = random.Random(5)
+    passage, rows = words(r, 48, 10**6), []
+    for i in range(60):
+        tail = words(r, 9, 10**6)
+        rows += [(i, " ".join(passage + tail)), (1000 + i, " ".join(passage + tail[:-1] + ["other"]))]
+    got = {x["doc_id"]: x["removed"] for x in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["n_removed"]}
+    assert got == brute_lines(rows) == {1000 + i: [0] for i in range(60)}
+
+
 # --- 4 BPE
 
 
