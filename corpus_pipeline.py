@@ -1,8 +1,8 @@
 """A corpus pipeline: quality rules, line de-duplication, near-duplicate removal, secret redaction, packing.
 
 Every stage works on all that its predecessor kept; all but the last return the columns of
-`documents`.  No stage is expressible in SQL as a whole, so there is no ORACLE_SQL; tests hold the
-pipeline against a brute-force version.
+`documents`.  No stage is expressible in SQL as a whole, so there is no ORACLE_SQL; a test holds the
+stages that drop rows or lines against a brute-force version, with null and repeated ids.
 """
 
 from __future__ import annotations

@@ -258,7 +258,16 @@ def join_ngrams(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
-    """One document of each component, the one with its smallest id; of rows that repeat the id, one."""
-    joined = join_ngrams(docs, id_column, text_column, **how)
-    kept = joined.where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    return docs.join(kept, id_column).dropDuplicates([id_column]).select(*docs.columns)
+    """One row of each component, that with its smallest id (null ids last); what links with nothing stays.
+
+    Rows are told apart by id and text: of rows that repeat both one stays, of rows that repeat an id only
+    those that link are one component.  Rows with neither id nor words all stay.
+    """
+    rows = docs.withColumn("__row", F.xxhash64(F.col(id_column).isNull(), id_column, text_column))
+    joined = join_ngrams(rows, "__row", text_column, **how).dropDuplicates(["__row"])
+    order = F.struct(F.col(id_column).isNull(), id_column, "__row")
+    known = rows.select(id_column, "__row").join(joined, "__row")
+    kept = known.groupBy("component_id").agg(F.min_by("__row", order).alias("__row"), F.max("n_shingles").alias("__n"))
+    alone = F.when(F.col(id_column).isNull() & (F.col("__n") == 0), F.monotonically_increasing_id())
+    d = rows.join(kept.select("__row", "__n"), "__row").withColumn("__alone", alone)
+    return d.dropDuplicates([id_column, "__row", "__alone"]).select(*docs.columns)

@@ -84,6 +84,13 @@ def boilerplate(lines: DataFrame, docs: DataFrame, host_column: str, id_column:
     return often.join(sizes, "host").where(F.col("documents") > F.col("size") * share).select("host", "h0", "h1")
 
 
+def _rejections(removed: Column) -> tuple[Column, Column]:
+    """Whether the base rules fail, and whether too little is left, by n_words, n_repeat_words and the removed words."""
+    left = F.greatest(F.col("n_words") - removed, F.lit(0))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return failed, (removed > 0) & ((left < LEAST_WORDS_LEFT) | (left < LEAST_SHARE_LEFT * F.col("n_words")))
+
+
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", least_documents: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """id, the statistics, base_failed, kept, removed_words and removed_lines (hashes) of every row."""
     lines = document_lines(docs, id_column, text_column, host_column)
@@ -92,19 +99,27 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     base = statistics(docs, id_column, text_column)
     d = base.join(hit.withColumnRenamed("id", id_column), id_column, "left")
     removed = F.coalesce(F.col("removed_words"), F.lit(0))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    left = F.greatest(F.col("n_words") - removed, F.lit(0))
-    depleted = (removed > 0) & ((left < LEAST_WORDS_LEFT) | (left < LEAST_SHARE_LEFT * F.col("n_words")))
+    failed, depleted = _rejections(removed)
     return d.select(
         id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), removed.alias("removed_words"), "removed_lines"
     )
 
 
 def apply_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
-    """The kept documents with their columns as they were, without their boilerplate lines; other texts stay byte for byte."""
-    verdict = judge(docs, id_column, text_column, host_column, **limits)
-    verdict = verdict.groupBy(id_column).agg(F.max("kept").alias("__kept"), F.first("removed_lines", ignorenulls=True).alias("__removed")).where("__kept")
-    d = docs.join(verdict, id_column)
+    """The kept rows with their columns as they were, without their boilerplate lines; other texts stay byte for byte.
+
+    What is boilerplate is counted by id, but each row stays or goes by its own text, with a null or repeated id too.
+    """
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    own = docs.withColumn("__row", F.md5(F.concat_ws("\x01", named(id_column), named(host_column), F.col(text_column)).cast("binary")))
+    common = boilerplate(document_lines(docs, id_column, text_column, host_column), docs, host_column, id_column, **limits)
+    lines = document_lines(own, "__row", text_column, host_column)
+    hit = salted_join(lines, common, ["host", "h0", "h1"], F.col("id")).groupBy(F.col("id").alias("__row")).agg(F.sum("words").alias("words"), F.collect_set("h0").alias("__removed"))
+    base = statistics(own, "__row", text_column).groupBy("__row").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words"), F.max("n_repeat_words").alias("n_repeat_words"))
+    # the words of equal rows were added up
+    d = base.join(hit, "__row", "left").withColumn("removed_words", F.coalesce(F.col("words") / F.col("copies"), F.lit(0)))
+    failed, depleted = _rejections(F.col("removed_words"))
+    d = own.join(d.where(~failed & ~depleted).select("__row", "__removed"), "__row")
     rest = F.filter(F.split(text_column, "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("__removed"), line_hash(x, 0))))
     text = F.when(F.col("__removed").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(text_column))
     return d.withColumn(text_column, text).select(*docs.columns)

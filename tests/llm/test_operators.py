@@ -194,6 +194,35 @@ def test_similar_lines_within_a_crowded_band(spark):
     assert got == brute_lines(rows) == {1000 + i: [0] for i in range(60)}
 
 
+# --- pipeline
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Quality rules, line de-duplication and n-gram join, with null and repeated ids, against a brute-force version."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    text = lambda n=40: " ".join(words(r, n, 10**6))
+    near = words(r, 80, 10**6)
+    edited = [*near[:40], *words(r, 1, 10**6), *near[41:]]
+    rows = [(i, text(), "h") for i in range(12)] + [(None, text(), "h"), (None, text(), None), (None, "too short", "h"), (7, text(), "h"), (7, "short too", "h"), (None, None, "h")]
+    rows += [(20, "\n".join(" ".join(near[k : k + 40]) for k in (0, 40)), "h"), (None, " ".join(edited), "h"), (3, text() + "\n" + text(), "h")]
+    fit = [x for x in rows if brute_quality(x[1])[0] >= 10 and 100 * brute_quality(x[1])[4] <= 20 * brute_quality(x[1])[0]]
+    assert not brute_lines(list(enumerate(x[1] for x in fit)))  # no line goes
+    grams = [{tuple(split(x[1])[k : k + 5]) for k in range(len(split(x[1])) - 4)} for x in fit]
+    gone = set()
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams):
+            if i != j and 100 * len(a & b) >= 75 * len(a | b):
+                gone.add(max(i, j, key=lambda k: (fit[k][0] is None, fit[k][0] or 0)))
+    assert len(gone) == 1
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        d = stage(spark, d, "")
+        left = fit if name in ("quality_rules", "line_dedup") else [x for i, x in enumerate(fit) if i not in gone]
+        assert sorted(map(tuple, d.collect()), key=str) == sorted(left, key=str), name
+
+
 # --- 4 BPE
 
 
