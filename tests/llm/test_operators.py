@@ -292,6 +292,20 @@ def test_join_finds_links_that_bands_miss(spark, monkeypatch):
     assert got == brute_join(rows)
 
 
+def test_join_of_a_crowded_passage(spark):
+    """Copies of one passage with more and more edits and words of their own: many pairs are near the limit, and few link."""
+    r = random.Random(9)
+    passage = words(r, 60, 10**6)
+    rows = []
+    for i in range(80):
+        w = list(passage)
+        for k in r.sample(range(60), i % 9):
+            w[k] = f"edit{i}_{k}"
+        rows.append((i, " ".join(w + words(r, r.randrange(0, 20), 10**6))))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_join(rows)
+
+
 def test_prefixes_share_as_many_as_they_require():
     r = np.random.default_rng(4)
     for _ in range(300):
@@ -379,10 +393,65 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(d, model).collect()}
     assert np.mean([got[i]["predicted"] == t for i, t in labels[300:]]) > 0.95
     assert all(0 <= got[i]["score"] < 0.5 for i in (900, 901, 902))
+    by_joins = toxicity.fit_toxicity_model(d, y.where("doc_id < 300"), model_grams=0)
+    assert by_joins.held is None
+    for r in toxicity.score_toxicity(d, by_joins).collect():
+        assert abs(r["difference"] - got[r["doc_id"]]["difference"]) < 1e-9
     blank = toxicity.fit_toxicity_model(d, y.where("false"))
     assert {r["predicted"] for r in toxicity.score_toxicity(d, blank).collect()} == {0}
 
 
+def brute_ratios(texts, toxic):
+    """Log ratios of all grams, from the definition."""
+    top = {}
+    for text, y in zip(texts, toxic, strict=True):
+        for w in text.split():
+            p = f" {w} "
+            for i in range(1, len(p)):
+                top.setdefault((p[max(0, i - 5) : i], p[i]), [0, 0])[y] += 1
+    whole = [sum(n[y] for n in top.values()) for y in (0, 1)]
+    orders, longer = {}, {g for g in top if len(g[0]) == 5}
+    for k in range(4, -1, -1):
+        orders[k] = Counter((c[1:], w) for c, w in longer)
+        longer = set(orders[k]) | {g for g in top if len(g[0]) == k}
+
+    def shared(c, w):
+        after = {x: n for (b, x), n in orders[len(c)].items() if b == c}
+        low = shared(c[1:], w) if c else 1 / len(after)
+        return (max(after[w] - 0.75, 0) + 0.75 * len(after) * low) / sum(after.values())
+
+    out = {}
+    for c, w in top:
+        p = []
+        for y in (0, 1):
+            after = [n[y] * min(whole) / whole[y] for (b, _), n in top.items() if b == c]
+            t, own = sum(after), top[c, w][y] * min(whole) / whole[y]
+            p.append((max(own - 0.75, 0) / t if t else 0) + (sum(min(0.75, n) for n in after) / t if t else 1) * shared(c[1:], w))
+        out[c, w] = np.log(p[1] / p[0])
+    return out
+
+
+def test_toxicity_tables_against_the_definition(spark):
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 8))) for _ in range(12)) for _ in range(12)]
+    toxic = [i % 3 == 0 for i in range(12)]
+    top = toxicity.gram_counts(spark.createDataFrame(list(zip(texts, map(int, toxic))), "text string, toxic int"))
+    got = {(r["context"], r["symbol"]): r["ratio"] for r in toxicity.log_ratios(top)[0].collect()}
+    want = brute_ratios(texts, toxic)
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
+def test_toxicity_of_short_and_long_texts(monkeypatch):
+    ratios = toxicity.Ratios({" a": 1.0, " ab": 2.0}, {" a": -0.5})
+    for n in range(9):
+        assert np.isfinite(ratios.difference("a" * n)) and ratios.difference("1" * n) == 0
+    text = " ".join(random.Random(4).choice(["a", "ab", "abc", "1", "é"]) for _ in range(400))
+    whole = ratios.difference(text)
+    for step in (1, 2, 7, 100):
+        monkeypatch.setattr(toxicity, "STEP", step)
+        assert abs(ratios.difference(text) - whole) < 1e-12
+
+
 # --- 9 packing
 
 
