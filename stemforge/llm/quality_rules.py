@@ -4,6 +4,9 @@ DataFrame functions only.  A line, normalised (lower case, one space between wor
 a host if more of the host's documents hold it than `least_documents` and than `share` of them all.
 Boilerplate lines are removed, and a document is rejected if too little is left of it.
 
+A first count, of rows by host and line, leaves the few lines that may be above the limits; only where
+these stand is kept, in one small table, for the exact count of documents and for the removal.
+
 Words are runs without space and 0x09-0x0D.  Null texts have no words; a null host is a host of its
 own.  Rows that share an id have statistics each of their own, but count as one document, whose lines
 are judged together.  Extra columns are ignored; an empty table gives an empty result.
@@ -15,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemforge.llm.common import materialize
 from stemforge.llm.components import salted_join
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -68,20 +72,43 @@ def statistics(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("p")
 
 
-def document_lines(docs: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
-    """id, host, two hashes of a line with a word, how often the document has it and its words: a row for each document and line."""
-    lines = docs.select(F.col(id_column).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(host_column).cast("string")), F.lit("")).alias("host"), F.explode(F.split(text_column, "\n")).alias("line"))
-    normal = lines.select("id", "host", words_of(F.col("line")).alias("w")).where(F.size("w") > 0)
-    normal = normal.select("id", "host", F.lower(F.array_join("w", " ")).alias("x"), F.size("w").alias("n"))
-    return normal.select("id", "host", F.xxhash64(F.lit(0), "x").alias("h0"), F.xxhash64(F.lit(1), "x").alias("h1"), "n").groupBy("id", "host", "h0", "h1").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("words"))
+def normal_lines(text: Column) -> Column:
+    """normal_line() of every line of a text, by one call for its white space."""
+    return F.transform(F.split(F.lower(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")), "\n"), F.trim)
+
+
+def host_of(host_column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(host_column).cast("string")), F.lit(""))
+
+
+def host_sizes(docs: DataFrame, id_column: str, host_column: str) -> DataFrame:
+    """host and its number of documents (a null id is one)."""
+    return docs.select(host_of(host_column).alias("host"), F.col(id_column).alias("id")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+
+
+def likely_lines(docs: DataFrame, sizes: DataFrame, text_column: str, host_column: str, least_documents: int, share: float) -> DataFrame:
+    """host and hash of the lines that more rows than the limits hold: at most 1/share for each host and line of a document, on average."""
+    lines = docs.select(host_of(host_column).alias("host"), F.explode(F.array_distinct(normal_lines(F.col(text_column)))).alias("x")).where("x != ''")
+    often = lines.groupBy("host", F.xxhash64(F.lit(0), "x").alias("h0")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > least_documents)
+    return often.join(sizes, "host").where(F.col("rows") > F.col("size") * share).select("host", "h0")
+
+
+def held_lines(docs: DataFrame, keys: list[str], wanted: DataFrame, text_column: str, host_column: str) -> DataFrame:
+    """keys, host, two hashes, how often and with how many words a row holds each line of `wanted` (host, h0)."""
+    lines = docs.select(*keys, host_of(host_column).alias("host"), F.explode(normal_lines(F.col(text_column))).alias("x")).where("x != ''")
+    # hashes and counts, not texts, go through the join
+    lines = lines.select(*keys, "host", F.xxhash64(F.lit(0), "x").alias("h0"), F.xxhash64(F.lit(1), "x").alias("h1"), F.size(F.split("x", " ")).alias("n"))
+    held = salted_join(lines, wanted, ["host", "h0"], F.hash(*keys))
+    return held.groupBy(*keys, "host", "h0", "h1").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("words"))
 
 
-def boilerplate(lines: DataFrame, docs: DataFrame, host_column: str, id_column: str, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """host and hashes of the lines above the limits; at most 1/share for each host and words of a line, on average."""
-    often = lines.groupBy("host", "h0", "h1").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > least_documents)
-    host = F.coalesce(F.concat(F.lit("="), F.col(host_column).cast("string")), F.lit(""))
-    sizes = docs.select(host.alias("host"), id_column).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    return often.join(sizes, "host").where(F.col("documents") > F.col("size") * share).select("host", "h0", "h1")
+def boilerplate(docs: DataFrame, keys: list[str], id_column: str, text_column: str, host_column: str, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
+    """held_lines() of the lines that more documents than the limits hold."""
+    sizes = materialize(host_sizes(docs, id_column, host_column))
+    held = materialize(held_lines(docs, keys, likely_lines(docs, sizes, text_column, host_column, least_documents, share), text_column, host_column))
+    often = held.select(id_column, "host", "h0", "h1").distinct().groupBy("host", "h0", "h1").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > least_documents)
+    common = often.join(sizes, "host").where(F.col("documents") > F.col("size") * share).select("host", "h0", "h1")
+    return salted_join(held, common, ["host", "h0", "h1"], F.hash(*keys))
 
 
 def _rejections(removed: Column) -> tuple[Column, Column]:
@@ -93,11 +120,10 @@ def _rejections(removed: Column) -> tuple[Column, Column]:
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", least_documents: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """id, the statistics, base_failed, kept, removed_words and removed_lines (hashes) of every row."""
-    lines = document_lines(docs, id_column, text_column, host_column)
-    common = boilerplate(lines, docs, host_column, id_column, least_documents, share)
-    hit = salted_join(lines, common, ["host", "h0", "h1"], F.col("id")).groupBy("id").agg(F.sum("words").alias("removed_words"), F.collect_set("h0").alias("removed_lines"))
+    held = boilerplate(docs, [id_column], id_column, text_column, host_column, least_documents, share)
+    hit = held.groupBy(id_column).agg(F.sum("words").alias("removed_words"), F.collect_set("h0").alias("removed_lines"))
     base = statistics(docs, id_column, text_column)
-    d = base.join(hit.withColumnRenamed("id", id_column), id_column, "left")
+    d = base.join(hit, id_column, "left")
     removed = F.coalesce(F.col("removed_words"), F.lit(0))
     failed, depleted = _rejections(removed)
     return d.select(
@@ -112,9 +138,8 @@ def apply_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     own = docs.withColumn("__row", F.md5(F.concat_ws("\x01", named(id_column), named(host_column), F.col(text_column)).cast("binary")))
-    common = boilerplate(document_lines(docs, id_column, text_column, host_column), docs, host_column, id_column, **limits)
-    lines = document_lines(own, "__row", text_column, host_column)
-    hit = salted_join(lines, common, ["host", "h0", "h1"], F.col("id")).groupBy(F.col("id").alias("__row")).agg(F.sum("words").alias("words"), F.collect_set("h0").alias("__removed"))
+    held = boilerplate(own, [id_column, "__row"], id_column, text_column, host_column, **limits)
+    hit = held.groupBy("__row").agg(F.sum("words").alias("words"), F.collect_set("h0").alias("__removed"))
     base = statistics(own, "__row", text_column).groupBy("__row").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words"), F.max("n_repeat_words").alias("n_repeat_words"))
     # the words of equal rows were added up
     d = base.join(hit, "__row", "left").withColumn("removed_words", F.coalesce(F.col("words") / F.col("copies"), F.lit(0)))
