@@ -5,12 +5,17 @@ shorter).  Documents link when 100 * intersection >= 75 * union.
 
 1. Equal sets are one class, named by 128 bits and represented by its smallest id.
 2. Groups of near copies are joined early: of the representatives that share a MinHash band each is
-   compared with the smallest and the largest only, and union-find labels what is linked.
+   compared with the smallest and with the one that shares its bands with most others (in a group of
+   edited copies that with the fewest edits), and union-find labels what is linked.
 3. All other links are found by prefixes.  Shingles have one order: rare ones by hash, then frequent
    ones by frequency.  If two sets link, their first n - ceil(0.75 n) + l shingles share l at least,
    for every l.  Each document picks its l, a power of two, by the estimated cost: the postings in
-   the prefix, and verifying the candidates that l matches leave.  A pair is verified if it shares as many prefix shingles as the smaller l of the two.  Pairs within one label of step 2
-   need no check, as they are in one component already.
+   the prefix, and verifying the candidates that l matches leave.  The sizes of a pair say what it
+   must share, o = ceil((|a| + |b|) * 75 / 175), so it meets within the first |a| - o + l and
+   |b| - o + l shingles, l being the smaller of the two.  It is verified if it shares l there, and if
+   these and what follows the last of them in either set can make o.  Pairs within one label of step 2
+   need no check, as they are in one component already: of each shingle's documents those with its
+   most common label stand on one side of the join only.
 4. Verified links join the labels to components.
 
 Nothing is capped or sampled: frequencies steer the order and l only, any order finds all links.
@@ -40,10 +45,15 @@ BANDS, BAND_HASHES = 4, 2
 #: Shingles so frequent in one batch are counted over all of them; the most frequent are ordered last.
 BATCH_FREQUENT = 8
 FREQUENT_KEPT = 100_000
-#: Verifying a candidate costs as much as reading this share of its set in postings, as both sets travel.
-VERIFY_SHARE = 0.25
+#: Verifying what a shared posting makes a candidate costs as much as reading this share of its set in postings: both
+#: sets travel, but the bounds of the pair leave few candidates to verify.
+VERIFY_SHARE = 0.03
 #: How often a shingle that is not known as frequent is expected in other sets.
 ELSEWHERE = 0.3
+#: Bits of a need that hold the logarithm of the matches.
+NEED_BITS = 5
+#: Parts of a set that places are told by; up to so many shingles they are exact.
+PLACE_PARTS = 2048
 #: Prefix shingles that one task sorts.
 RANGE_POSTINGS = 1_500_000
 #: Ids up to which a list is broadcast; beyond, it is shuffled.
@@ -82,6 +92,11 @@ def least_overlap(n: int, per_cent: int = PER_CENT) -> int:
     return -(-per_cent * n // 100)
 
 
+def pair_overlap(a, b, per_cent: int = PER_CENT):
+    """Two sets of a and b shingles (Columns) share so many at least if they link."""
+    return F.ceil((a + b) * F.lit(per_cent) / F.lit(100 + per_cent) - F.lit(1e-9)).cast("long")
+
+
 def sketch(docs: DataFrame, id_column: str, text_column: str, width: int = WIDTH) -> DataFrame:
     """id, n, set key and bands of every row; beside the first rows of batches the batch's frequent shingles with their counts."""
 
@@ -139,7 +154,10 @@ def choose_prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray
 
 
 def postings(docs: DataFrame, id_column: str, text_column: str, frequent, ranges: int, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
-    """Packed prefixes: range, shingles, set keys and matches; frequent shingles lie in ranges of their own, spread by set."""
+    """Packed prefixes: range, shingles, set keys and needs; frequent shingles lie in ranges of their own, spread by set.
+
+    A need holds a shingle's place, as the part of its set that stands before it, and the logarithm of the matches.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT_KEPT at most
 
     def each(batches):
@@ -153,13 +171,13 @@ def postings(docs: DataFrame, id_column: str, text_column: str, frequent, ranges
                         k0 = set_key(s)[0]
                         tokens.append(prefix)
                         keys.append(np.full(len(prefix), k0, np.int64))
-                        needs.append(np.full(len(prefix), matches, np.int32))
+                        needs.append((np.arange(len(prefix), dtype=np.int64) * PLACE_PARTS // len(s) << NEED_BITS) | (matches.bit_length() - 1))
                         where.append(np.where(often, ranges + k0 % ranges, (prefix % np.uint64(ranges)).astype(np.int64)))
                 if not tokens:
                     continue
                 t, k, m, w = (np.concatenate(x) for x in (tokens, keys, needs, where))
                 order = np.argsort(w, kind="stable")
-                t, k, m, w = t[order], k[order], m[order], w[order]
+                t, k, m, w = t[order], k[order], m[order].astype(np.uint16), w[order]
                 cut = np.flatnonzero(np.diff(w)) + 1
                 starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(w)]])
                 yield pa.record_batch(
@@ -171,10 +189,10 @@ def postings(docs: DataFrame, id_column: str, text_column: str, frequent, ranges
 
 
 def shared_postings(packed: DataFrame, ranges: int) -> DataFrame:
-    """token, k0 and matches of the prefix shingles that two sets at least have; all frequent ones."""
+    """token, k0 and need of the prefix shingles that two sets at least have; all frequent ones."""
 
     def group(table: pa.Table) -> pa.Table:
-        t, k, m = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in (("tokens", np.int64), ("keys", np.int64), ("needs", np.int32)))
+        t, k, m = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in (("tokens", np.int64), ("keys", np.int64), ("needs", np.uint16)))
         order = np.lexsort((k, t))
         t, k, m = t[order], k[order], m[order]
         new = np.ones(len(t), bool)
@@ -186,21 +204,32 @@ def shared_postings(packed: DataFrame, ranges: int) -> DataFrame:
             keep[1:] |= same
             keep[:-1] |= same
             t, k, m = t[keep], k[keep], m[keep]
-        return pa.table({"token": t, "k0": k, "matches": m.astype(np.int32)})
+        return pa.table({"token": t, "k0": k, "need": m.astype(np.int32)})
 
-    return packed.groupBy("range").applyInArrow(group, "token long, k0 long, matches int")
+    return packed.groupBy("range").applyInArrow(group, "token long, k0 long, need int")
 
 
 def prefix_pairs(shared: DataFrame, nodes: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """Pairs a, b of representatives of different labels that share as many prefix shingles as they must."""
-    rows = shared.join(nodes.select("k0", "rep", "label", "n"), "k0").select("token", "rep", "label", "n", "matches").distinct()
+    """Pairs a, b of representatives of different labels that may link, by the prefix shingles that they share."""
+    columns = ("rep", "label", "n", "matches", "place")
+    rows = shared.join(nodes.select("k0", "rep", "label", "n"), "k0").select("token", "rep", "label", "n", "need")
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
     rows = materialize(salted_join(rows, mixed, ["token"], F.col("rep")))
-    a, b = (rows.select("token", *[F.col(c).alias(c + s) for c in ("rep", "label", "n", "matches")]) for s in ("_a", "_b"))
-    sized = (F.col("n_a") * 100 >= F.col("n_b") * per_cent) & (F.col("n_b") * 100 >= F.col("n_a") * per_cent)
-    met = a.join(b, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & sized)
-    need = F.least(F.max("matches_a"), F.max("matches_b"))
-    return met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), need.alias("need")).where("met >= need").select("a", "b")
+    by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    # the least place that rounds to its part, so that bounds by it never say too little
+    place = F.ceil(F.shiftright("need", NEED_BITS) * F.col("n") / F.lit(PLACE_PARTS)).cast("long")
+    matches = F.expr(f"shiftleft(1, need & {(1 << NEED_BITS) - 1})")
+    rows = salted_join(rows, main, ["token"], F.col("rep")).select("token", "rep", "label", "n", matches.alias("matches"), place.alias("place"), (F.col("label") != F.col("main")).alias("minor"))
+    rows = materialize(rows)
+    a, b = (rows.select("token", *[F.col(c).alias(c + s) for c in (*columns, "minor")]) for s in ("_a", "_b"))
+    must, need = pair_overlap(F.col("n_a"), F.col("n_b"), per_cent), F.least("matches_a", "matches_b")
+    once = ~F.col("minor_b") | (F.col("rep_a") < F.col("rep_b"))
+    near = (F.col("place_a") + must < F.col("n_a") + need) & (F.col("place_b") + must < F.col("n_b") + need)
+    met = a.where("minor_a").join(b, "token").where(once & (F.col("label_a") != F.col("label_b")) & near)
+    found = met.groupBy("rep_a", "rep_b", "n_a", "n_b", "matches_a", "matches_b").agg(F.count(F.lit(1)).alias("met"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+    reach = F.col("met") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
+    return found.where((F.col("met") >= need) & (reach >= must)).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, id_column: str, text_column: str, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
@@ -228,6 +257,17 @@ def verified(docs: DataFrame, pairs: DataFrame, id_column: str, text_column: str
     return map_rows(both.select("a", "b", "sa", "sb"), check, "a long, b long")
 
 
+def near_pairs(reps: DataFrame) -> DataFrame:
+    """Pairs a, b of representatives: the members of each band with its smallest and its best connected one."""
+    rows = reps.select("rep", F.explode("bands").alias("band"))
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = materialize(salted_join(rows, sizes, ["band"], F.col("rep")))
+    rows = rows.join(rows.groupBy("rep").agg(F.sum("m").alias("met")), "rep")
+    ends = rows.groupBy("band").agg(F.min("rep").alias("low"), F.max_by("rep", F.struct("met", "rep")).alias("centre"))
+    met = salted_join(rows.select("rep", "band"), ends, ["band"], F.col("rep")).select("rep", F.explode(F.array("low", "centre")).alias("b")).where("rep != b")
+    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+
+
 def join_ngrams(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
     """id, n_shingles and component_id of every row."""
     sketches = materialize(sketch(docs, id_column, text_column, width))
@@ -235,11 +275,7 @@ def join_ngrams(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     classes = full.groupBy("k0", "k1").agg(F.min("id").alias("rep"))
     reps = materialize(full.join(classes, ["k0", "k1"]).where("id = rep").select("k0", "k1", "rep", "n", "bands").dropDuplicates(["k0", "k1"]))
 
-    # near copies: members of a band against its smallest and largest
-    rows = reps.select("rep", F.explode("bands").alias("band"))
-    ends = rows.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    met = salted_join(rows, ends, ["band"], F.col("rep")).select("rep", F.explode(F.array("low", "high")).alias("b")).where("rep != b")
-    near = materialize(met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct())
+    near = materialize(near_pairs(reps))
     early = materialize(components(verified(docs, near, id_column, text_column, width, per_cent)))
     nodes = materialize(reps.join(early.withColumnRenamed("node", "rep"), "rep", "left").select("k0", "k1", "rep", "n", F.coalesce("component", "rep").alias("label")))
 
