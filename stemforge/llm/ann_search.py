@@ -11,8 +11,8 @@ can need more than `wanted` and one: that loses nothing, and a vector that a thi
 is no hot cell.  Cells and their queries are dealt out in blocks of bounded size.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take
-no part, neither as queries nor as candidates.  Rows that repeat an id are one vector each; a query
-never finds its own id.  Extra columns are ignored; an empty table gives an empty result.
+no part, neither as queries nor as candidates.  Rows that repeat an id and its vector are one row;
+rows of one id with other vectors are a query, and a candidate, each.  A query never finds its own id.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -165,7 +165,8 @@ def nearest(table: DataFrame, queries_where, id_column: str = "vec_id", vector_c
     width = max(sizes, key=lambda r: (r["count"], r["n"]))["n"]
     rows = rows.where(F.size("vector") == width)
     order = Window.partitionBy("k1", "k2").orderBy("id")
-    members = materialize(rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= wanted + 1))
+    # rows that repeat an id and its vector are one; they lie in one partition already
+    members = materialize(rows.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= wanted + 1).dropDuplicates(["k1", "k2", "id"]))
     reps = members.where("nth = 1").select("k1", "k2", F.col("id").alias("rep"), "vector")
     n = reps.count()
     sample = reps.where(hash_share("rep", sample_vectors / max(n, 1))).select("rep", "vector").toPandas().sort_values("rep")
@@ -184,7 +185,7 @@ def nearest(table: DataFrame, queries_where, id_column: str = "vec_id", vector_c
         counts[r["c1"], r["c2"]] = r["count"]
     target = math.ceil(index.share_for(_matrix(sample["vector"]), recall, wanted) * n)
 
-    query_rows = rows.where(queries_where(F.col("id"))).select("id", "k1", "k2")
+    query_rows = rows.where(queries_where(F.col("id"))).select("id", "k1", "k2").distinct()
     asked = placed.join(query_rows.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", "vector")
 
     def route(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -219,5 +220,5 @@ def nearest(table: DataFrame, queries_where, id_column: str = "vec_id", vector_c
     answers = top.select(F.col("q1").alias("k1"), F.col("q2").alias("k2"), F.col("id").alias("vec_id"), "score").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     ids = query_rows.select(F.col("id").alias("query_id"), "k1", "k2", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
     all_found = ids.join(answers, ["k1", "k2", "salt"]).where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "k1", "k2").orderBy(F.desc("score"), "vec_id"))
     return all_found.select(F.col("query_id").cast("long"), rank.cast("int").alias("rank"), F.col("vec_id").cast("long"), "score").where(F.col("rank") <= wanted)

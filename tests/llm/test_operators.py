@@ -353,6 +353,7 @@ def test_neighbours_recall_and_copies(spark):
     x = rng.standard_normal((600, 16)).astype(np.float32)
     x[100:160] = x[100]  # copies: ties go to the smaller id
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1004, [1.0])]
+    rows += [(20, x[20].tolist()), (20, x[20].tolist()), (41, x[41].tolist())]  # repeated rows
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = defaultdict(list)
     for r in ann_search.nearest(d, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
