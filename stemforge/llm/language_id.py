@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from stemforge.llm.common import hash_share, map_rows
 
-#: Bounds of the labelled sample on the driver.
-SAMPLE_ROWS = 6_000
-SAMPLE_CHARS = 3_000
+#: Bound of the labelled sample on the driver, in rows; their texts are whole.
+SAMPLE_ROWS = 2_500
 BUCKETS = 1 << 15
 WIDTH = 12
 SIZES = (2, 3, 4)
@@ -93,7 +92,7 @@ class LanguageModel:
                 if len(part := text[i : i + segment]) >= 20 or not i:
                     g = _ngrams(np.concatenate([[np.uint32(32)], _codes(part), [np.uint32(32)]]))
                     if len(g):
-                        rows.append(g)
+                        rows.append(g.astype(np.uint16))
                         labels.append(languages.index(lang))
         y = np.array(labels)
         order = rng.permutation(len(y))
@@ -158,7 +157,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit_language_model(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
+def fit_language_model(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fits on about `sample_rows` labelled rows, as many of each language as there are, chosen by a hash of the id."""
     known = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_column).count().collect()}  # one row for each language
@@ -166,7 +165,7 @@ def fit_language_model(docs: DataFrame, id_column: str = "doc_id", text_column:
     chosen = F.lit(False)
     for lang, n in counts.items():
         chosen = chosen | ((F.col(lang_column) == lang) & hash_share(id_column, quota / n))
-    got = known.where(chosen).select(id_column, F.col(lang_column).alias("lang"), F.substring(text_column, 1, sample_chars).alias("text")).toPandas()
+    got = known.where(chosen).select(id_column, F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).toPandas()
     got = got.sort_values([id_column, "text"], kind="stable")
     return LanguageModel.fit(list(got["text"]), list(got["lang"]))
 
