@@ -1,9 +1,14 @@
 """Secret scan: plain patterns, and probabilistic automata inferred from labelled credentials.
 
-The automata come from ALERGIA: a prefix tree of the labelled strings is built, its states are
+The automata come from ALERGIA: a prefix tree of the whole labelled strings is built, its states are
 visited in breadth-first order and merged where the Hoeffding bound finds their ends and next
-symbols (and those of all successors) compatible.  A candidate's score is its log likelihood per
-symbol under the best credential automaton less that under the automaton of ordinary strings.
+symbols (and those of all successors) compatible.  Characters are symbols of their own as long as
+a format's strings often start with them, and fall into classes after that.  A candidate's score is
+its log likelihood per symbol, its end included, under the best credential automaton less that
+under the automaton of ordinary strings.
+
+Every run of 16 or more credential characters is a candidate and is scored whole, unless base spans
+cover it; one that only overlaps base spans may be added beside them.
 
 Null texts are empty texts.  Repeated rows are scanned each on its own, extra columns ignored,
 and an empty table gives an empty result.  Spans are in code points with exclusive ends.
@@ -16,13 +21,15 @@ import math
 import random
 import re
 import string
-from collections import deque
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stemforge.llm.common import map_rows
 
@@ -34,8 +41,10 @@ KINDS = ("assign", "access", "hex", "grammar")
 
 #: `[0-9a-f]{16,}` has the matches of HEX that are long enough, as a run starts where it is longest; it is quicker to search.
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_HAS_DIGIT = re.compile(r"[0-9]")
+#: `=` stands at the end only, as padding: what it assigns is a candidate of its own.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{16,}={0,2}")
+#: Labelled rows of a table that a grammar is fitted on.
+LABELLED_ROWS = 20_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -48,7 +57,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def symbol(c: str) -> str:
-    """Symbols of the automata: digits and letters fall into classes, punctuation stands for itself."""
+    """Symbols of the automata behind the frequent starts: digits and letters fall into classes, punctuation stands for itself."""
     if "0" <= c <= "9":
         return "0"
     if "a" <= c <= "f":
@@ -60,6 +69,10 @@ def symbol(c: str) -> str:
     return "Z" if "G" <= c <= "Z" else c
 
 
+#: Characters of each class; all of a class are equally likely.
+CLASS_SIZES = {"0": 10, "f": 6, "z": 20, "F": 6, "Z": 20}
+
+
 @dataclass
 class _Node:
     ends: int = 0
@@ -71,24 +84,46 @@ class _Node:
 class Automaton:
     """A deterministic probabilistic automaton with smoothed transitions."""
 
-    def __init__(self, strings: Iterable[str], alpha: float = 0.05, tree_depth: int = 40) -> None:
+    def __init__(self, strings: Iterable[str], alpha: float = 0.05, start_share: float = 0.1) -> None:
+        """Starts that at least `start_share` of the strings have are kept literally."""
         self.alpha = alpha
+        strings = list(strings)
+        self.starts = self._frequent_starts(strings, max(2.0, start_share * len(strings)))
         nodes = [_Node()]
         for s in strings:
             at = 0
             nodes[0].through += 1
-            for c in map(symbol, s[:tree_depth]):
+            for c in self.symbols(s):
                 nodes[at].counts[c] = nodes[at].counts.get(c, 0) + 1
                 if c not in nodes[at].next:
                     nodes[at].next[c] = len(nodes)
                     nodes.append(_Node())
                 at = nodes[at].next[c]
                 nodes[at].through += 1
-            nodes[at].ends += len(s) <= tree_depth  # a longer string goes on unseen
+            nodes[at].ends += 1
         self.nodes = nodes
         self._merge()
         self._table()
 
+    @staticmethod
+    def _frequent_starts(strings: list[str], least: float) -> set[str]:
+        found: set[str] = set()
+        level, n = strings, 0
+        while level:
+            n += 1
+            counts = Counter(s[:n] for s in level if len(s) >= n)
+            often = {x for x, k in counts.items() if k >= least}
+            found |= often
+            level = [s for s in level if s[:n] in often]
+        return found
+
+    def symbols(self, text: str) -> list[str]:
+        n = 0
+        while n < len(text) and text[: n + 1] in self.starts:
+            n += 1
+        # a literal is no class, also where both are one character
+        return ["=" + c for c in text[:n]] + [symbol(c) for c in text[n:]]
+
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         if not n1 or not n2:
             return False
@@ -152,22 +187,25 @@ class Automaton:
     def _table(self) -> None:
         self.score: dict[tuple[int, str], tuple[float, int]] = {}
         self.miss: dict[int, float] = {}
+        self.end: dict[int, float] = {}
         for s in self.states:
             n = self.nodes[s]
             total = sum(n.counts.values()) + n.ends + 1.0
             self.miss[s] = math.log(1.0 / total / 12)
+            self.end[s] = math.log(n.ends / total) if n.ends else self.miss[s]
             for c, k in n.counts.items():
                 self.score[s, c] = (math.log(k / total), n.next.get(c, 0))
 
     def log_likelihood(self, text: str) -> float:
-        """Per symbol."""
+        """Per symbol, with the end as one."""
         at, total = 0, 0.0
-        for c in map(symbol, text):
+        for c in self.symbols(text):
+            total -= math.log(CLASS_SIZES.get(c, 1))
             if (hit := self.score.get((at, c))) is None:
                 total, at = total + self.miss[at], 0
             else:
                 total, at = total + hit[0], hit[1]
-        return total / max(1, len(text))
+        return (total + self.end[at]) / (len(text) + 1)
 
 
 @dataclass
@@ -189,6 +227,13 @@ class SecretGrammar:
         return max((a.log_likelihood(candidate) for a in self.formats.values()), default=-math.inf) - self.ordinary.log_likelihood(candidate)
 
 
+def fit_grammar(labelled: DataFrame, format_column: str = "format", string_column: str = "string", margin: float = 0.9, rows: int = LABELLED_ROWS) -> SecretGrammar:
+    """A grammar from a labelled table, of at most `rows` whole strings in the order of their hashes; rows with a null or an empty string are left out."""
+    named = labelled.select(F.col(format_column).alias("f"), F.col(string_column).alias("s")).where("f IS NOT NULL AND s != ''")
+    chosen = named.orderBy(F.xxhash64("f", "s"), "f", "s").limit(rows).collect()
+    return SecretGrammar.fit(((r["f"], r["s"]) for r in chosen), margin)
+
+
 def labelled_credentials(per_format: int = 300, seed: int = 7) -> list[tuple[str, str]]:
     """Labelled strings drawn from publicly documented credential formats, and ordinary strings of like length."""
     r = random.Random(seed)
@@ -208,6 +253,9 @@ def labelled_credentials(per_format: int = 300, seed: int = 7) -> list[tuple[str
             ("base64_key", pick(word + "+/", 40)),
             ("ordinary", name(r.randint(4, 14))),
             ("ordinary", name(r.randint(4, 14)).capitalize() + r.choice(["", ".", "..."])),
+            ("ordinary", name(r.randint(4, 14)).upper()),
+            ("ordinary", r.choice("-_").join(name(r.randint(1, 3)).upper() for _ in range(r.randint(3, 6)))),
+            ("ordinary", "".join(name(r.randint(1, 3)).capitalize() for _ in range(r.randint(3, 6)))),
             ("ordinary", "-".join(name(r.randint(1, 3)) for _ in range(r.randint(3, 6)))),
             ("ordinary", "_".join(name(r.randint(1, 3)) for _ in range(r.randint(3, 6)))),
             ("ordinary", "www." + name(3) + "." + r.choice(["com", "org", "net"]) + "/" + "/".join(name(2) for _ in range(3)) + r.choice(["", ".html", f"/{r.randint(1, 999)}"])),
@@ -225,17 +273,22 @@ def default_grammar(per_format: int = 300, seed: int = 7) -> SecretGrammar:
 
 
 def scan(text: str | None, grammar: SecretGrammar | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans with those that the grammar adds outside the base ones."""
+    """Base spans, and all spans with those of the candidates that the grammar finds and base spans do not cover."""
     text = text or ""
     grammar = grammar or default_grammar()
     base = base_spans(text)
+    covered: list[list[int]] = []
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
     added = []
     for m in _CANDIDATE.finditer(text):
-        value = m.group().rstrip(".=-_") if m.group()[-1] in ".-_" else m.group()
-        if len(value) < 16 or not _HAS_DIGIT.search(value):
-            continue
+        value = m.group().rstrip(".-_") if m.group()[-1] in ".-_" else m.group()
         start, end = m.start(), m.start() + len(value)
-        if any(s < end and start < e for s, _, e in base):
+        at = bisect_right(covered, start, key=lambda x: x[0]) - 1
+        if len(value) < 16 or (at >= 0 and end <= covered[at][1]):
             continue
         if grammar.score(value) >= grammar.margin:
             added.append((start, 3, end))

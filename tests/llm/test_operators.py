@@ -91,6 +91,57 @@ def test_secret_grammar_tells_formats_from_words():
     assert np.mean(right) > 0.93
 
 
+def brute_candidates(text, grammar):
+    """Spans of runs of credential characters, by single characters; covered ones by sets of places."""
+    covered = set()
+    for s, _, e in secret_scan.base_spans(text):
+        covered |= set(range(s, e))
+    found, i = [], 0
+    inner = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in inner:
+            j += 1
+        if j - i >= 16:
+            end = j
+            while end < len(text) and text[end] == "=" and end < j + 2:
+                end += 1
+            j = end
+            while text[end - 1] in ".-_":
+                end -= 1
+            if end - i >= 16 and not set(range(i, end)) <= covered and grammar.score(text[i:end]) >= grammar.margin:
+                found.append((i, 3, end))
+        i = max(j, i + 1)
+    return found
+
+
+def test_secret_candidates_against_brute_force():
+    g = secret_scan.default_grammar()
+    strings = [s for _, s in secret_scan.labelled_credentials(12, seed=5)]
+    overlapping = "xoxb-123456789012-abcdef0123456789abcdef01"
+    texts = ["", " ".join(strings), "=".join(strings), "\n".join(s + "==." for s in strings), overlapping, "token=" + overlapping, "see " + "word " * 300_000 + strings[1]]
+    for text in texts:
+        base, spans = secret_scan.scan(text, g)
+        assert base == secret_scan.base_spans(text) and set(base) <= set(spans)
+        assert [x for x in spans if x[1] == 3] == brute_candidates(text, g)
+    assert secret_scan.scan(overlapping)[1] == [(0, 3, 42), (18, 2, 42)]
+    assert secret_scan.scan("token=" + overlapping)[1] == secret_scan.base_spans("token=" + overlapping)
+
+
+def test_secret_grammar_from_a_table(spark):
+    """A new format of letters alone, longer than any tree that is cut; its start is kept literally."""
+    r = random.Random(3)
+    key = lambda: "corp-" + "".join(r.choice("bcdfghjklmnpqrstvwxz") + r.choice("QXZ") for _ in range(45))
+    rows = [("corp", key()) for _ in range(80)] + [x for x in secret_scan.labelled_credentials(40) if x[0] == "ordinary"] + [(None, "x"), ("corp", None), ("corp", "")]
+    g = secret_scan.fit_grammar(spark.createDataFrame(rows, "format string, string string"))
+    assert list(g.formats) == ["corp"] and "corp-" in g.formats["corp"].starts
+    text = f"our {key()} stays, internationalorganisation too"
+    docs = spark.createDataFrame([(1, text, "a"), (1, "nothing", "b"), (None, None, None)], "doc_id long, text string, spans string")
+    got = sorted((r["doc_id"] or 0, r["spans"]) for r in secret_scan.scan_secrets(docs, grammar=g).collect())
+    assert got == [(0, ""), (1, ""), (1, "grammar:4:99")]
+    assert [r["text"] for r in secret_scan.redact_secrets(docs, grammar=g).collect()] == ["our [SECRET] stays, internationalorganisation too", "nothing", None]
+
+
 def test_assign_match_that_fails_is_consumed():
     assert secret_scan.base_spans("token=api_key: abcdefghijklmnop") == []
     assert secret_scan.base_spans("toKen=abcdefghijklmnop") == []
