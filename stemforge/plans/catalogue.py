@@ -90,9 +90,9 @@ def _phrases(x: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {_phrases(normal('text'))} AS semantic FROM documents WHERE lang = 'es'")
+@query(f"SELECT doc_id, {_phrases(normal('text'))} AS semantic FROM documents")
 def semantic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", T.semantic_field(F.col("text")).alias("semantic"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.semantic_field(F.col("text")).alias("semantic"))
 
 
 # --- filters, counts, orders
@@ -166,11 +166,17 @@ def project_diff_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.changed_answers(*_halves(spark, sf_dir)).select("id", "question", "previous_answer", "current_answer")
 
 
-@query("SELECT CAST(o_custkey AS BIGINT) AS id, arg_max(o_orderstatus, o_orderkey) AS status, min(o_orderkey) AS position FROM orders GROUP BY o_custkey")
+@query(
+    """WITH r AS (SELECT o_custkey AS id, o_orderstatus AS status, o_orderkey AS position, 0 AS side FROM orders WHERE o_orderkey % 3 <> 0
+      UNION ALL SELECT o_custkey, lower(o_orderstatus), o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 4 = 1)
+    SELECT CAST(id AS BIGINT) AS id, arg_max(status, side * 1000000000000 + position) AS status, arg_min(position, side * 1000000000000 + position) AS position FROM r GROUP BY id"""
+)
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("position"))
-    odd = F.col("position") < 2**62
-    return R.upsert(o.where(odd), o.where(~odd))
+    """Orders as versions of their customers: some rows arrive in both sides, some in one; arriving versions win."""
+    key = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), key.alias("position"))
+    incoming = o.where("position % 3 = 0 OR position % 4 = 1").withColumn("status", F.lower("status"))
+    return R.upsert(o.where("position % 3 != 0"), incoming)
 
 
 @query(f"WITH {HALVES} SELECT id, question FROM current WHERE id NOT IN (SELECT id FROM project)")
@@ -265,17 +271,24 @@ def objective_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark text: candidates share its first eight words, then the whole text is looked for.
+    """Documents that hold a benchmark text: candidates share a window of its inner words, then the whole text is looked for.
 
-    Each text's start is one key, so that the join is on equal keys; the documents' word windows are
-    their candidates.
+    The words between a passage's first and last one (up to six) are whole words of a document that
+    holds it.  Their hash is one key, so that the join is on equal keys.  Passages of one or two words
+    have no inner word: that small set is looked for in each document.
     """
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 2, 6), " ").alias("head"))
-    w = F.split("text", r"\s+")
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", w.alias("w"))
-    heads = d.where(F.size("w") >= 6).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("head"))
-    met = heads.join(b.select("item_id", "passage", "head"), "head").select("doc_id", "item_id", "passage").distinct()
-    return met.join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split(F.trim("text"), r"\s+").alias("w")).where("passage IS NOT NULL")
+    b = b.select("item_id", "passage", F.least(F.size("w") - 2, F.lit(6)).alias("n"), "w")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    sizes = [r["n"] for r in b.where("n > 0").select("n").distinct().collect()]  # six at most
+    heads = b.where("n > 0").select("item_id", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("head"))
+    w = d.select("doc_id", F.split("text", r"\s+").alias("w"))
+    window = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))
+    windows = F.array_distinct(F.concat(F.array().cast("array<long>"), *[F.coalesce(window(n), F.array().cast("array<long>")) for n in sizes]))
+    met = w.select("doc_id", F.explode(windows).alias("head")).join(heads, "head").select("doc_id", "item_id").distinct().join(b.select("item_id", "passage"), "item_id")
+    short = d.join(b.where("n < 1").select("item_id", "passage"), F.contains("text", F.col("passage"))).select("item_id")
+    held = met.join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id")
+    return held.unionByName(short).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
 # --- windows, ranges and blocks
@@ -369,11 +382,11 @@ def marker_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("order_key", W.longest_run(F.col("n")).cast("int").alias("longest"))
 
 
-@query("SELECT p_partkey AS id, 'case ' || min(c.o_orderkey) AS stem FROM part LEFT JOIN (SELECT o_orderkey, CAST(o_orderkey % 40 AS INT) AS s, CAST(o_orderkey % 40 + 2 AS INT) AS e FROM orders WHERE o_orderkey < 20) c ON p_size BETWEEN c.s AND c.e GROUP BY p_partkey")
+@query("SELECT p_partkey AS id, 'case ' || min(c.o_orderkey) AS stem FROM part LEFT JOIN (SELECT o_orderkey, CAST(o_orderkey % 40 AS INT) AS s, CAST(o_orderkey % 40 + 2 AS INT) AS e FROM orders) c ON p_size BETWEEN c.s AND c.e GROUP BY p_partkey")
 def range_join_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
     start = (F.col("o_orderkey") % 40).cast("int")
-    c = table(spark, sf_dir, "orders").where("o_orderkey < 20").select(F.concat(F.lit("case "), F.col("o_orderkey").cast("string")).alias("stem"), start.alias("start"), (start + 2).alias("end"), F.col("o_orderkey").alias("pos"))
+    c = table(spark, sf_dir, "orders").select(F.concat(F.lit("case "), F.col("o_orderkey").cast("string")).alias("stem"), start.alias("start"), (start + 2).alias("end"), F.col("o_orderkey").alias("pos"))
     return R.first_interval(p, c, "p_size", "pos", ["stem"]).select("id", "stem")
 
 
@@ -595,13 +608,17 @@ def marker_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source", estimate(F.col("text")).alias("e")).select("source", "e.confidence", "e.count", "e.duplicates", "e.markers", "e.run")
 
 
-@query("SELECT event_id, CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS at, epoch_us(ts) // 1000 AS admitted_at FROM events")
+@query(
+    """WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 100000000 AS "at" FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at", event_id) - 1 AS n FROM e)
+    SELECT event_id, key, "at", CAST(max("at" - n // 30 * 60000) OVER (PARTITION BY key, n % 30 ORDER BY n) + n // 30 * 60000 AS BIGINT) AS admitted_at FROM n"""
+)
 def request_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a limit that these events never reach each request is admitted as it comes."""
+    """100 s of the table count as one ms, so that a user's requests come faster than 30 a minute and wait."""
     from stemforge.streaming.keys import admissions
 
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("at"))
-    return admissions(e, 600)
+    at = F.floor(F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 100_000)
+    return admissions(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", at.alias("at")))
 
 
 @query("WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id % 4 <> 0 AS ok FROM events) SELECT key, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE NOT ok) AS failures FROM e GROUP BY key")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
@@ -105,14 +105,17 @@ ADMISSIONS = "key string, event_id long, at long, admitted_at long"
 
 
 def admissions(events: DataFrame, limit: int = 30) -> DataFrame:
-    """key, event_id, at and admitted_at of events (key, event_id, at in ms): each key's requests in order of their times."""
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "event_id"])
-        limiter = Limiter(limit)
-        return group.assign(admitted_at=[limiter.admit(int(t)) for t in group["at"]])[["key", "event_id", "at", "admitted_at"]]
-
-    return events.select("key", "event_id", "at").groupBy("key").applyInPandas(replay, ADMISSIONS)
+    """key, event_id, at and admitted_at of events (key, event_id, at in ms): each key's requests in order of their times.
+
+    A request waits for the one `limit` places before it to leave the window, so that with every
+    limit-th request as a chain, a time is the running maximum of (at - windows passed in the chain):
+    windows over sorted rows, which spill, and no group in memory.
+    """
+    place = F.row_number().over(Window.partitionBy("key").orderBy("at", "event_id")) - 1
+    passed = F.floor(F.col("__place") / limit) * WINDOW_MS
+    chain = Window.partitionBy("key", "__chain").orderBy("__place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = events.select("key", "event_id", "at").withColumn("__place", place).withColumn("__chain", F.col("__place") % limit)
+    return d.select("key", "event_id", "at", (F.max(F.col("at") - passed).over(chain) + passed).cast("long").alias("admitted_at"))
 
 
 HEALTH = "key string, status string, blocked_until long, successes long, failures long, streak long, pressure long, latency double"

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import duckdb
@@ -270,6 +271,13 @@ def test_limiter_and_health(spark):
     assert h.status == "invalid"
     e = spark.createDataFrame([("k", i, t) for i, t in enumerate((0, 10, 20))], "key string, event_id long, at long")
     assert [r["admitted_at"] for r in keys.admissions(e, 2).orderBy("event_id").collect()] == [0, 10, 60_000]
+    r = random.Random(4)
+    rows = [(k, i, r.randrange(200_000)) for k in ("a", "b", "c") for i in range(150)]
+    got = {(x["key"], x["event_id"]): x["admitted_at"] for x in keys.admissions(spark.createDataFrame(rows, "key string, event_id long, at long"), 30).collect()}
+    for k in ("a", "b", "c"):
+        limiter = keys.Limiter(30)
+        for _, i, at in sorted((x for x in rows if x[0] == k), key=lambda x: (x[2], x[1])):
+            assert got[k, i] == limiter.admit(at)
 
 
 def test_snapshot_operators(spark):
@@ -310,3 +318,16 @@ def test_queries_agree_with_sql(spark, name):
     place = [[c[0] for c in got.description].index(n) for n in names]
     show = lambda x: repr(round(x, 8)) if isinstance(x, float) else str(x)
     assert sorted([show(r[n]) for n in names] for r in d.collect()) == sorted([show(r[i]) for i in place] for r in got.fetchall())
+
+
+def test_benchmark_containment_of_passages_of_all_lengths(spark, tmp_path):
+    """Ends of a passage may lie within words; short passages and other spaces count as well."""
+    from stemforge.plans.catalogue import QUERIES
+
+    texts = ["one two three four five six seven eight nine", "xone two threey", "none  two\tthree", "a", "", None, "b a c", "one two three four five six seven eigh"]
+    passages = ["a", "two", "one two", "one two three", "two three four", "ne two three four five six seven eigh", "one  two", "absent words here", "none  two\tthree", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: r["documents"] for r in QUERIES["benchmark_containment"](spark, str(tmp_path)).collect()}
+    brute = {i: sum(p in t for t in texts if t is not None) for i, p in enumerate(passages) if p is not None}
+    assert got == {i: n for i, n in brute.items() if n}
