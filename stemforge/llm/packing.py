@@ -34,6 +34,7 @@ from stemforge.llm.common import map_rows, materialize, slices
 CAPACITY = 2048
 END_ID = 0
 #: One of so many triples is enumerated: enough columns for every length, and a plan of bounded size.
+#: All of them (1) take ten times the time for 14 sequences less in 493,521, which the bound holds at 493,506.
 TRIPLES_OF = 16
 
 #: Fixed value: how byte-level vocabularies of this kind split texts.
