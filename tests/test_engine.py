@@ -94,6 +94,14 @@ def test_first_come_first_kept(bank):
     assert got[6]["action"] == "review" and "answer_conflict" in got[6]["flags"]
 
 
+def test_answers_of_equal_normal_form_do_not_conflict(spark):
+    rows = [(i, f"Câu {i}. Nguyên nhân thường gặp nhất của đau ngực cấp ở người lớn tuổi", OPTIONS, a, i) for i, a in enumerate(["Tăng huyết áp", "<b>tang  huyet ap</b>", None, "Suy tim"], 1)]
+    bank = spark.createDataFrame(rows, "id long, question string, options array<string>, answer string, position long")
+    got = {r["id"]: r for r in dedupe.dedupe(bank).collect()}
+    assert [got[i]["action"] for i in (1, 2, 3, 4)] == ["new", "autoSkip", "autoSkip", "review"]
+    assert "answer_conflict" not in (got[2]["flags"] or []) and "answer_conflict" in got[4]["flags"]
+
+
 def test_rounds_are_the_sequential_run(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (1, 5), (4, 5), (2, 6)]
     rows = spark.range(1, 7).select("id")
