@@ -51,11 +51,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The same as a Parquet table in that folder, for rows with texts."""
+def written(df: DataFrame) -> str:
+    """The path of a new Parquet table in that folder."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    release(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in that folder, for rows with texts and for steps that repeat.
+
+    A checkpoint also keeps its plan's size estimate, and joins multiply these: repeated over rounds the
+    estimate takes millions of digits.  A table has the size of its files.
+    """
+    return df.sparkSession.read.parquet(written(df))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table of `written` that nothing reads any more."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemforge.llm.common import materialize
+from stemforge.llm.common import removed, written
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner", salts: int = 8) -> DataFrame:
@@ -30,14 +30,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps alternate until the edges are stars around the smallest nodes, which
     takes a number of rounds that grows with the logarithm of the longest chain.  Each round's
-    edges are cut from their lineage in the shared folder.
+    edges are a table in the shared folder, with the size of its files as its estimate.
     """
-    edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
+    spark = links.sparkSession
+    path = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     state = None
     while True:
+        edges = spark.read.parquet(path)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
         state = now
-        edges = materialize(_stars(edges))
+        before, path = path, written(_stars(edges))
+        removed(spark, before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
