@@ -21,6 +21,7 @@ from stemforge.llm.packing import pack_documents
 from stemforge.llm.quality_rules import ORACLE as QUALITY_ORACLE
 from stemforge.llm.quality_rules import judge
 from stemforge.llm.secret_scan import scan_secrets
+from stemforge.llm.token_alignment import align_documents
 from stemforge.llm.toxicity import fit_toxicity_model, score_toxicity
 from stemforge.llm.url_filter import filter_urls
 
@@ -75,8 +76,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_secret_scan, op2_quality_rules, op3_line_dedup, op4_bpe_automaton, op5_ngram_join, op6_language_id, op7_ann_search, op8_toxicity, op9_packing, op10_url_filter)
+    found = (op1_secret_scan, op2_quality_rules, op3_line_dedup, op4_bpe_automaton, op5_ngram_join, op6_language_id, op7_ann_search, op8_toxicity, op9_packing, op10_url_filter, op11_token_alignment)
     return {f.__name__: f for f in found}
 
 
