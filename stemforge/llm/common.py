@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,16 @@ def hash_share(column: str, share: float):
     return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(1_000_000)) < F.lit(int(min(1.0, share) * 1_000_000))
 
 
+def pack_ints(values: np.ndarray) -> bytes:
+    """Integers, compressed with the bytes of one place together: small ones take little room."""
+    return zstandard.compress(values.reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+
+
+def unpack_ints(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

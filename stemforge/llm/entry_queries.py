@@ -15,12 +15,15 @@ from stemforge.llm.ann_search import nearest
 from stemforge.llm.bpe_automaton import encode_documents
 from stemforge.llm.common import table
 from stemforge.llm.language_id import fit_language_model, identify_language
+from stemforge.llm.license_scan import digest, scan_licenses
 from stemforge.llm.line_dedup import report as line_report
 from stemforge.llm.ngram_join import join_ngrams
 from stemforge.llm.packing import pack_documents
 from stemforge.llm.quality_rules import ORACLE as QUALITY_ORACLE
 from stemforge.llm.quality_rules import judge
 from stemforge.llm.secret_scan import scan_secrets
+from stemforge.llm.source_divergence import ORACLE as DIVERGENCE_ORACLE
+from stemforge.llm.source_divergence import source_divergence
 from stemforge.llm.token_alignment import align_documents
 from stemforge.llm.toxicity import fit_toxicity_model, score_toxicity
 from stemforge.llm.url_filter import filter_urls
@@ -80,10 +83,21 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_secret_scan, op2_quality_rules, op3_line_dedup, op4_bpe_automaton, op5_ngram_join, op6_language_id, op7_ann_search, op8_toxicity, op9_packing, op10_url_filter, op11_token_alignment)
+    found = (
+        op1_secret_scan, op2_quality_rules, op3_line_dedup, op4_bpe_automaton, op5_ngram_join, op6_language_id, op7_ann_search,
+        op8_toxicity, op9_packing, op10_url_filter, op11_token_alignment, op12_license_scan, op13_source_divergence,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_ORACLE}
+    return {"op2_quality_rules": QUALITY_ORACLE, "op13_source_divergence": DIVERGENCE_ORACLE}
