@@ -6,10 +6,13 @@ outside, as is OCR.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemforge.functions import text as T
+from stemforge.operators.ranges import SPLIT_REASONS, cut_ranges, widen_single_pages
 from stemforge.operators.windows import longest_run, merge_intervals
 
 LEAD = r"(?:^|\n)\s*"
@@ -78,54 +81,96 @@ def score_pages(pages: DataFrame) -> DataFrame:
 
 
 def multi_column_pages(items: DataFrame) -> DataFrame:
-    """file_id and page of pages (items: file_id, page, page_width, x, y, width, text) with four rows at least that span two columns."""
-    d = items.where(F.trim("text") != "").withColumn("row", F.floor(F.col("y") / 4 + 0.5) * 4)
+    """file_id and page of pages (items: file_id, page, page_width, x, y, width, text) of 20 items at least, blank ones included, with four rows at least that span two columns."""
+    blank = F.trim("text") == ""
     w = F.col("page_width")
+    sizes = items.groupBy("file_id", "page").agg(F.count(F.lit(1)).alias("items"))
+    d = items.where(~blank).withColumn("row", F.floor(F.col("y") / 4 + 0.5) * 4)
     rows = d.groupBy("file_id", "page", "row").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length(F.trim("text"))).alias("chars"), F.min("x").alias("left"), F.max(F.col("x") + F.greatest(F.lit(0.0), F.col("width"))).alias("right"),
         F.max(F.col("x") < w * 0.42).alias("has_left"), F.max(F.col("x") > w * 0.58).alias("has_right"), F.max(w).alias("page_width"),
     )
     risky = (F.col("n") >= 3) & (F.col("chars") >= 20) & F.col("has_left") & F.col("has_right") & (F.col("right") - F.col("left") > F.col("page_width") * 0.48)
-    pages = rows.groupBy("file_id", "page").agg(F.count_if(risky).alias("risky"), F.sum("n").alias("items"))
+    pages = rows.groupBy("file_id", "page").agg(F.count_if(risky).alias("risky")).join(sizes, ["file_id", "page"])
     return pages.where("risky >= 4 AND items >= 20").select("file_id", "page")
 
 
+def with_columns_risk(pages: DataFrame, two_columns: DataFrame) -> DataFrame:
+    """Scored pages with `column_risk`; good text in two columns becomes suspect."""
+    d = pages.join(two_columns.select("file_id", "page").distinct().withColumn("column_risk", F.lit(True)), ["file_id", "page"], "left").withColumn("column_risk", F.coalesce("column_risk", F.lit(False)))
+    return d.withColumn("quality", F.when(F.col("column_risk") & (F.col("quality") == "goodText"), "suspect").otherwise(F.col("quality")))
+
+
+# What begins a question, an option, an answer or a shared case at the start of a page's line.
+QUESTION_LINE = r"(?iu)^(?:(?:câu|cau|question|q)\s*\d+\s*[:.)-]|(?:\d{1,3}|[IVX]{1,8})\s*[.)-]\s+\S)"
+OPTION_LINE = r"(?i)^\(?[A-E]\)?\s*[.:)-]\s*."
+ANSWER_LINE = r"(?iu)^(?:đáp\s*án|dap\s*an|answer|correct\s*answer|key)\s*(?:đúng|dung)?\s*[:：.\-]?\s*\(?[A-E]"
+SHARED_CASE = r"(?iu)tình\s*huống|tinh\s*huong|dữ\s*kiện|du\s*kien|bệnh\s*cảnh|benh\s*canh|ca\s*bệnh|case|vignette|dùng\s*cho\s*câu|dung\s*cho\s*cau"
+HIGH_REASONS = ["trailing_question_without_options", "next_page_starts_with_options", "split_options", "answer_key_on_next_page", "shared_case_crosses_boundary"]
+
+
 def boundary_risks(pages: DataFrame) -> DataFrame:
-    """severity and reasons of the boundary after each page, from its text and the next page's."""
+    """reasons, severity, page_numbers and the suggested range (start, end) of the boundary after each page, from its lines and its neighbours'.
+
+    `table_risk` and `column_risk` of scored pages count where they are there.  A question is trailing if its line is among the last
+    45 % of the page's lines.
+    """
     w = Window.partitionBy("file_id").orderBy("page")
-    d = pages.select("file_id", "page", page_text(F.col("text")).alias("t")).withColumn("next", F.lead("t").over(w))
-    tail, head = F.substring_index("t", "\n", -12), F.substring_index("next", "\n", 6)
-    lines = lambda c: F.filter(F.split(c, r"\n+"), lambda x: F.trim(x) != "")
-    first, last = F.trim(F.get(lines(F.col("next")), F.lit(0))), F.trim(F.element_at(F.concat(F.array(F.lit("")), lines(F.col("t"))), -1))
-    question, option = r"(?iu)^(?:câu|cau|question|q)\s*\d+\s*[:.)-]", r"(?i)^\(?[A-E]\)?\s*[.:)-]\s*\S"
-    last_question = F.regexp_extract(tail, rf"(?isu){LEAD}(?:câu|cau|question|q)\s*\d+\s*[:.)-]((?:(?!\n\s*(?:câu|cau|question|q)\s*\d).)*)\z", 1)
-    has_options = F.regexp_count(last_question, F.lit(OPTION))
+    risky = [F.col(c) for c in ("table_risk", "column_risk") if c in pages.columns]
+    any_risk = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in risky], F.lit(False))
+    split = F.filter(F.transform(F.split(page_text(F.col("text")), r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    d = pages.select("file_id", "page", split.alias("now"), any_risk.alias("risk"), (marker_estimate(page_text(F.col("text")))["confidence"] == "low").alias("noisy"))
+    neighbours = {"before": F.lag("now").over(w), "after": F.lead("now").over(w), "page_before": F.lag("page").over(w), "page_after": F.lead("page").over(w), "risk_after": F.lead("risk").over(w), "noisy_after": F.lead("noisy").over(w)}
+    d = d.withColumns(neighbours).withColumns({"n": F.coalesce("after", F.array().cast("array<string>")), "p": F.coalesce("before", F.array().cast("array<string>"))})
+    places = lambda lines, pattern: F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
+    d = d.withColumns({"asked": places(F.col("now"), QUESTION_LINE), "optioned": places(F.col("now"), OPTION_LINE), "next_asked": F.coalesce(F.array_min(places(F.col("n"), QUESTION_LINE)), F.lit(-1)), "next_optioned": places(F.col("n"), OPTION_LINE)})
+    last = F.coalesce(F.array_max("asked"), F.lit(-1))
+    d = d.withColumn("last", last)
+    first_option = F.coalesce(F.array_min("next_optioned"), F.lit(-1))
+    has_next_question = F.col("next_asked") >= 0
+    tail = lambda lines: F.array_join(F.slice(lines, F.greatest(F.size(lines) - 7, F.lit(1)), 8), " ")
+    facts = {
+        "options_after": F.when(F.col("last") >= 0, F.size(F.filter("optioned", lambda i: i > F.col("last")))).otherwise(0),
+        "trailing": (F.col("last") >= 0) & (F.col("last") >= F.floor(F.size("now") * 0.55)),
+        "same_line": F.exists(F.slice("now", F.greatest(F.col("last") + 1, F.lit(1)), F.size("now") + 1), lambda x: x.rlike(SAME_LINE)),
+        "options_before": F.when(has_next_question, F.size(F.filter("next_optioned", lambda i: i < F.col("next_asked")))).otherwise(F.size("next_optioned")),
+        "starts": (first_option >= 0) & (~has_next_question | (first_option < F.col("next_asked"))),
+        "key_next": F.exists(F.slice("n", 1, 5), lambda x: x.rlike(ANSWER_LINE)),
+    }
+    d = d.withColumns(facts)
+    bare = F.col("trailing") & (F.col("options_after") < 2) & ~F.col("same_line")
+    shared = tail(F.col("now")).rlike(SHARED_CASE) | (tail(F.col("p")).rlike(SHARED_CASE) & (has_next_question | F.col("starts")))
+    continues = (F.size("n") > 0) & (F.col("next_asked") != 0) & ~F.col("starts")
     rules = [
-        ("trailing_question_without_options", (last_question != "") & (has_options == 0)),
-        ("next_page_starts_with_options", first.rlike(option)),
-        ("split_options", (last_question != "") & (has_options >= 1) & (has_options < 4) & first.rlike(option)),
-        ("answer_key_on_next_page", head.rlike(r"(?iu)^\s*(?:bảng\s*)?(?:đáp\s*án|dap\s*an|answer\s*key)")),
-        ("shared_case_crossing", tail.rlike(r"(?iu)t[ìi]nh\s*hu[ốo]ng|vignette|case\s+for")),
-        ("continuation_without_marker", (last != "") & ~last.rlike(r"[.!?:)]$") & first.rlike(r"^\p{Ll}")),
+        ("trailing_question_without_options", bare),
+        ("next_page_starts_with_options", F.col("starts")),
+        ("split_options", (F.col("options_after") > 0) & (F.col("options_after") < 4) & (F.col("options_before") > 0)),
+        ("answer_key_on_next_page", F.col("key_next") & (F.col("trailing") | (F.col("options_after") > 0))),
+        ("shared_case_crosses_boundary", shared),
+        ("continuation_without_marker", bare & continues),
+        ("table_or_column_split", (F.col("risk") | F.coalesce("risk_after", F.lit(False))) & (F.col("trailing") | F.col("starts") | (F.col("options_before") > 0))),
+        ("noisy_duplicate_markers", F.col("noisy") | F.coalesce("noisy_after", F.lit(False))),
     ]
-    d = d.where("next IS NOT NULL").withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules])))
-    high = F.arrays_overlap("reasons", F.array(*[F.lit(n) for n, _ in rules[:5]]))
-    return d.select("file_id", "page", "reasons", F.when(high, "high").when(F.size("reasons") > 0, "medium").otherwise("none").alias("severity"))
+    d = d.withColumn("reasons", F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules])))
+    previous = shared & F.col("page_before").isNotNull() & (has_next_question | F.col("starts") | continues)
+    severity = F.when(F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in HIGH_REASONS])), "high").when(F.size("reasons") > 0, "medium").otherwise("none")
+    start = F.when(previous, F.col("page_before")).otherwise(F.col("page"))
+    numbers = F.array_compact(F.array(F.when(previous, F.col("page_before")), F.col("page"), F.col("page_after")))
+    return d.select("file_id", "page", "reasons", severity.alias("severity"), numbers.alias("page_numbers"), start.alias("start"), F.coalesce("page_after", "page").alias("end"))
 
 
 def vision_ranges(pages: DataFrame, risks: DataFrame, size: int = 3, overlap: int = 1) -> DataFrame:
     """start and end of the page ranges that need vision: pages without good text, merged, cut to a size with an overlap.
 
-    A range whose last page has a risky boundary is widened by the next page.
+    A cut goes back by a page where it would split a question; single pages (size 1) take in the neighbours that their boundaries suggest.
     """
     bad = pages.where("quality != 'goodText'").select("file_id", F.col("page").alias("start"), F.col("page").alias("end"))
     merged = merge_intervals(bad, ["file_id"])
-    step = max(1, size - overlap)
-    starts = F.filter(F.sequence(F.col("start"), F.col("end"), F.lit(step)), lambda s: (s == F.col("start")) | (s - step + size - 1 < F.col("end")))
-    cut = merged.select("file_id", F.explode(starts).alias("s"), F.col("end").alias("last")).select("file_id", F.col("s").alias("start"), F.least(F.col("s") + size - 1, F.col("last")).alias("end"))
-    risky = risks.where("severity = 'high'").select("file_id", F.col("page").alias("end"), F.lit(1).alias("wider"))
-    d = cut.join(risky, ["file_id", "end"], "left")
-    return d.select("file_id", "start", (F.col("end") + F.coalesce("wider", F.lit(0))).alias("end"))
+    risky = risks.where(F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in SPLIT_REASONS])))
+    cut = cut_ranges(merged, risky, size, overlap)
+    if size > 1:
+        return cut
+    return widen_single_pages(cut, risks, pages.groupBy("file_id").agg(F.max("page").alias("n_pages")))
 
 
 def case_pages(pages: DataFrame, cases: DataFrame) -> DataFrame:
