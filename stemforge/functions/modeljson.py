@@ -36,8 +36,8 @@ class ModelFormatError(ValueError):
     """The text holds no JSON that can be read or salvaged."""
 
 
-def scan(text: str, start: int = 0) -> Iterator[tuple[int, str, tuple[str, ...]]]:
-    """(place, character, open brackets after it) of every bracket, comma and string end outside strings."""
+def scan(text: str, start: int = 0) -> Iterator[tuple[int, str, list[str]]]:
+    """(place, character, open brackets after it) of every bracket, comma and string end outside strings; the list of brackets goes on changing."""
     stack: list[str] = []
     quoted = escaped = False
     for i in range(start, len(text)):
@@ -49,21 +49,21 @@ def scan(text: str, start: int = 0) -> Iterator[tuple[int, str, tuple[str, ...]]
                 escaped = True
             elif c == '"':
                 quoted = False
-                yield i, '"', tuple(stack)
+                yield i, '"', stack
             continue
         if c == '"':
             quoted = True
         elif c in "{[":
             stack.append("}" if c == "{" else "]")
-            yield i, c, tuple(stack)
+            yield i, c, stack
         elif c in "}]":
             if stack and stack[-1] == c:
                 stack.pop()
-            yield i, c, tuple(stack)
+            yield i, c, stack
             if not stack:
                 return
         elif c == ",":
-            yield i, c, tuple(stack)
+            yield i, c, stack
 
 
 def balanced_end(text: str, start: int) -> int | None:
@@ -73,26 +73,74 @@ def balanced_end(text: str, start: int) -> int | None:
 
 def close(text: str) -> str:
     """A value that breaks off, cut after its last whole element and closed."""
-    best: tuple[int, tuple[str, ...]] | None = None
+    best: int | None = None
     for i, c, stack in scan(text):
-        if c in "}]" or c == "[" or c == "{":
-            best = (i + 1, stack)
+        if c in "}][{":
+            best = i + 1
         elif c == "," and stack:
-            best = (i, stack)
+            best = i
     if best is None:
         return text
-    return text[: best[0]].rstrip().rstrip(",") + "".join(reversed(best[1]))
+    stack = []
+    for _, _, stack in scan(text[:best]):  # noqa: B007  the brackets that are open there
+        pass
+    return text[:best].rstrip().rstrip(",") + "".join(reversed(stack))
 
 
 def tidy(text: str) -> str:
     """Commas before closing brackets, outside strings, removed."""
-    drop = []
+    drop: set[int] = set()
     last: tuple[int, str] | None = None
     for i, c, _ in scan(text):
         if c in "}]" and last and last[1] == "," and not text[last[0] + 1 : i].strip():
-            drop.append(last[0])
+            drop.add(last[0])
         last = (i, c)
-    return "".join(c for i, c in enumerate(text) if i not in set(drop)) if drop else text
+    return "".join(c for i, c in enumerate(text) if i not in drop) if drop else text
+
+
+#: Objects nested deeper are no records.
+DEEPEST = 40
+
+
+class Span:
+    """A whole object of a text: its places, how deep it is nested, and the whole objects in it."""
+
+    __slots__ = ("start", "end", "height", "inner")
+
+    def __init__(self, start: int) -> None:
+        self.start, self.end, self.height, self.inner = start, -1, 1, []
+
+
+def spans(text: str, start: int = 0, quoted: bool = False) -> list[Span]:
+    """The outermost whole objects from `start` on, in one pass that keeps the places of open brackets.
+
+    `quoted` says whether the first character lies in a string; after an odd quote the two readings change places.
+    """
+    found: list[Span] = []
+    stack: list[tuple[str, Span | None, list[Span]]] = []
+    escaped = False
+    for i in range(start, len(text)):
+        c = text[i]
+        if quoted:
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            elif c == '"':
+                quoted = False
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            span = Span(i) if c == "{" else None
+            stack.append(("}" if c == "{" else "]", span, span.inner if span else []))
+        elif c in "}]" and stack and stack[-1][0] == c:
+            _, span, inner = stack.pop()
+            if span:
+                span.end, span.height = i + 1, 1 + max((x.height for x in inner), default=0)
+            (stack[-1][2] if stack else found).extend([span] if span else inner)
+    for _, _, inner in stack:  # brackets that never close hold whole objects all the same
+        found += inner
+    return sorted(found, key=lambda x: x.start)
 
 
 def extract(text: str) -> str:
@@ -113,27 +161,39 @@ def truncated(text: str) -> bool:
     return start >= 0 and balanced_end(text, start) is None
 
 
+def _read(text: str) -> Any:
+    try:
+        return json.loads(tidy(text))
+    except (ValueError, RecursionError):
+        return None
+
+
 def salvage(text: str) -> list[dict]:
-    """All whole objects inside the list of questions (or the text) that can be read and are complete."""
-    m = re.search(r'"questions"\s*:\s*\[', text or "")
-    at, out = m.end() if m else 0, []
-    while (at := (text or "").find("{", at)) >= 0:
-        end = balanced_end(text, at)
-        if end is None:
-            at += 1
-            continue
-        try:
-            value = json.loads(tidy(text[at:end]))
-        except ValueError:
-            at += 1
-            continue
-        if isinstance(value, dict) and isinstance(value.get("questions"), list):
-            at += 1
+    """All whole objects inside the list of questions (or the text) that can be read and are complete.
+
+    Objects are found in one pass for each reading of the quotes; one that cannot be read gives way to those inside it.
+    """
+    text = text or ""
+    m = re.search(r'"questions"\s*:\s*\[', text)
+    at = m.end() if m else 0
+    taken: list[tuple[int, int, Any]] = []
+    for quoted in (False, True):
+        open_ = spans(text, at, quoted)[::-1]
+        while open_:
+            span = open_.pop()
+            value = _read(text[span.start : span.end]) if span.height <= DEEPEST else None
+            if isinstance(value, dict) and not isinstance(value.get("questions"), list):
+                taken.append((span.start, span.end, value))
+            else:
+                open_ += span.inner[::-1]
+    out, end = [], -1
+    for start, stop, value in sorted(taken, key=lambda x: x[:2]):
+        if start < end:
             continue
+        end = stop
         record = coerce(value)
         if complete(record):
             out.append(record)
-        at = end
     return out
 
 
@@ -232,7 +292,7 @@ def coerce(value: Any) -> dict:
     m = _PREFIX.match(question)
     try:
         number = int(float(alias(value, "number")))
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         number = int(m[1]) if m else None
     options, marked = read_options(alias(value, "options"))
     stem = question[m.end() :].strip() or question if m else question

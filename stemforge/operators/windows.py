@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemforge.functions.lineage import cut_lineage
+
 
 def page_ranges(pages: DataFrame, n_pages: str = "n_pages", size: int = 3, overlap: int = 1) -> DataFrame:
     """start and end of overlapping page ranges; the first that reaches the last page is the last one."""
@@ -73,11 +75,31 @@ def streaks(events: DataFrame, key: str, order: list[str], at: str, gap: int) ->
     return d.withColumn("streak", F.row_number().over(Window.partitionBy(key, "__island").orderBy(*order))).drop("__new", "__island")
 
 
-def moving_average(events: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.2) -> DataFrame:
-    """The exponential moving average of a key's values after its last event: old * (1 - alpha) + new * alpha, from the first value on."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value])
-    d = events.groupBy(key).agg(values.alias("v"))
-    return d.select(key, F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.get("v", F.lit(0)), lambda a, x: a * (1 - alpha) + x * alpha).alias("average"))
+#: Values of one step of a moving average that are held together.
+AVERAGE_BLOCK = 4096
+
+
+def moving_average(events: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.2, block: int = AVERAGE_BLOCK) -> DataFrame:
+    """The exponential moving average of a key's values after its last event: old * (1 - alpha) + new * alpha, from the first value on.
+
+    Null values say nothing; a key without values has none.  A stretch of values takes an average a to kept * a + added, and two such
+    maps in a row are one: kept2 * kept1, kept2 * added1 + added2.  Rows are dealt by ranges of key and order, so that a
+    hot key lies in many partitions, in order; each block of `block` rows there is folded to its map, then the blocks of a key are.
+    """
+    order_columns = [F.col(c) for c in order]
+    known = events.where(F.col(value).isNotNull()).select(F.col(key).alias("__key"), F.struct(*order_columns).alias("__at"), F.col(value).cast("double").alias("__v"))
+    dealt = cut_lineage(known.repartitionByRange("__key", "__at").withColumn("__part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("__key", "__part").orderBy("__at")) - 1
+    rows = dealt.withColumn("__block", F.floor(place / block))
+    listed = rows.groupBy("__key", "__part", "__block").agg(F.array_sort(F.collect_list(F.struct("__at", "__v"))).alias("l"))
+    first = F.get("l", F.lit(0))["__v"]
+    # the map of a block, as if its first value were the average so far, and that first value
+    rest = F.transform(F.slice("l", 2, F.size("l")), lambda x: x["__v"])
+    maps = listed.select("__key", "__part", "__block", first.alias("first"), F.aggregate(rest, first, lambda a, x: a * (1 - alpha) + x * alpha).alias("alone"), F.pow(F.lit(1 - alpha), F.size("l") - 1).alias("kept"))
+    blocks = maps.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__part", "__block", "first", "alone", "kept"))).alias("b"))
+    # after a block: had its first value been the average, `alone`; that average is in truth first + (before - first) * (1 - alpha)
+    folded = F.aggregate(F.slice("b", 2, F.size("b")), F.get("b", F.lit(0))["alone"], lambda a, m: m["alone"] + m["kept"] * (1 - alpha) * (a - m["first"]))
+    return events.select(F.col(key).alias("__key")).distinct().join(blocks, "__key", "left").select(F.col("__key").alias(key), folded.alias("average"))
 
 
 def longest_run(numbers: Column) -> Column:

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemforge.functions import text as T
 from stemforge.operators import policy, records as R, windows as W
+from stemforge.plans import questions as _questions  # noqa: F401  registers its queries
+from stemforge.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from stemforge.plans.synth import FAILURES, RECORDS, document_records, failures, records, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # DuckDB pieces.  Its regular expressions have no look-around, and fold accents by a function.
 NORMAL = r"""
 trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -550,12 +535,12 @@ def salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(p_partkey // 10 AS INT) AS doc_id, count(*) AS questions, count(*) AS answered FROM part GROUP BY 1")
 def parse_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stemforge.operators.segments import questions
+    from stemforge.operators.markdown import markdown_questions
 
     r = records(spark, sf_dir).withColumn("doc_id", F.floor(F.col("id") / 10).cast("int"))
     block = F.concat("question", F.lit("\n"), F.array_join("options", "\n"), F.lit("\nAnswer: "), "answer")
     d = r.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
-    return questions(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("answer") != "").alias("answered"))
+    return markdown_questions(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("answer") != "").alias("answered"))
 
 
 @query()
@@ -621,16 +606,6 @@ def request_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admissions(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", at.alias("at")))
 
 
-@query("WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id % 4 <> 0 AS ok FROM events) SELECT key, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE NOT ok) AS failures FROM e GROUP BY key")
-def key_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stemforge.streaming.keys import key_health as health
-
-    e = table(spark, sf_dir, "events")
-    kind = F.when(F.col("event_id") % 4 != 0, "ok").otherwise(F.when(F.col("event_id") % 8 == 0, "rateLimit").otherwise("serverBusy"))
-    d = e.select(F.col("user_id").cast("string").alias("key"), "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("at"), kind.alias("kind"), F.col("value").alias("latency_ms"), F.lit(None).cast("long").alias("retry_after_ms"))
-    return health(d).select("key", "successes", "failures")
-
-
 @query()
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extra: sessions of events in batch, by the function that streams use."""

@@ -275,8 +275,10 @@ def test_limiter_and_health(spark):
     assert h.latency == pytest.approx(120)
     h.event(2, "rateLimit", retry_after_ms=1)
     assert h.status == "cooldown" and h.blocked_until == 45_002 and h.score(10) == float("-inf")
-    h.event(3, "auth", permanent=True).event(4, "ok", 1)
-    assert h.status == "invalid"
+    h.event(3, "auth", permanent=True)
+    assert h.status == "authBlocked" and h.blocked_until == keys.FOREVER and h.event(4, "rateLimit").blocked_until == keys.FOREVER
+    h.event(5, "ok", 1)  # a success clears every block
+    assert h.status == "healthy" and h.blocked_until == 0 and (h.failures, h.rate_strikes, h.auth_strikes) == (2, 1, 1)
     e = spark.createDataFrame([("k", i, t) for i, t in enumerate((0, 10, 20))], "key string, event_id long, at long")
     assert [r["admitted_at"] for r in keys.admissions(e, 2).orderBy("event_id").collect()] == [0, 10, 60_000]
     r = random.Random(4)
