@@ -38,7 +38,7 @@ TERM_RANKS = 200
 #: Count rows of a bucket, on average over the languages: the memory of a task.
 BUCKET_ROWS = 400_000
 #: Counts that a scanning task holds before it hands them on.
-HELD_COUNTS = 300_000
+HELD_COUNTS = 600_000
 RESIDENT = -1
 
 #: Letters, with A-Z lowered, and all bytes of other characters; the rest separates terms.
