@@ -148,22 +148,23 @@ def blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     rows = rows.withColumn("so_far", F.coalesce(F.sum(F.size("options")).over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     letter = F.upper(F.regexp_extract("clean", ANSWER, 1))
     kind = F.when(F.size("options") > 0, "options").when((letter != "") & (F.col("so_far") >= 2), "answer").when(F.col("so_far") == 0, "question").when(F.col("clean").rlike(EXPLANATION), "skip").otherwise("more")
-    rows = rows.withColumn("kind", kind).withColumn("letter", letter)
-    per_line = rows.groupBy(doc, "block").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "question", F.struct("line_no", F.col("clean").alias("t"))).when((F.col("kind") == "options") & (F.col("before") != ""), F.struct("line_no", F.col("before").alias("t"))))).alias("q"),
-        F.array_sort(F.collect_list(F.struct("line_no", F.col("clean").alias("t")))).alias("notes"),
-        F.max_by(F.element_at(F.transform(F.filter("options", lambda o: o["marked"]), lambda o: o["letter"]), -1), F.when(F.exists("options", lambda o: o["marked"]), F.col("line_no"))).alias("marked"),
-        F.min_by("letter", F.when(F.col("kind") == "answer", F.col("line_no"))).alias("told"),
-    )
-    pieces = rows.where("kind = 'options'").select(doc, "block", "line_no", F.posexplode("options").alias("pos", "o"), "so_far").select(doc, "block", (F.col("so_far") + F.col("pos")).alias("place"), F.lit(-1).alias("line_no"), "o.letter", "o.text")
-    more = rows.where("kind = 'more'").select(doc, "block", (F.col("so_far") - 1).alias("place"), "line_no", F.lit(None).cast("string").alias("letter"), F.col("clean").alias("text"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
-    options = pieces.unionByName(more).groupBy(doc, "block", "place").agg(F.max("letter").alias("letter"), squeezed(F.array_join(texts, " ")).alias("text"))
-    options = options.groupBy(doc, "block").agg(F.array_sort(F.collect_list(F.struct("place", "letter", "text"))).alias("o"))
-    joined = per_line.join(options, [doc, "block"], "left")
-    return joined.select(
-        doc, "block", squeezed(F.array_join(F.transform("q", lambda x: x["t"]), " ")).alias("question"), F.coalesce(F.transform("o", lambda x: F.struct(x["letter"].alias("letter"), x["text"].alias("text"))), F.array()).alias("options"),
-        F.coalesce(F.nullif(F.col("marked"), F.lit("")), "told").alias("answer"), F.transform("notes", lambda x: x["t"]).alias("notes"),
+    line = F.struct("line_no", kind.alias("kind"), "clean", "before", "options", letter.alias("letter"))
+    whole = rows.groupBy(doc, "block").agg(F.array_sort(F.collect_list(line)).alias("l"))  # the lines of one question
+    texts = F.transform("l", lambda x: F.when(x["kind"] == "question", x["clean"]).when((x["kind"] == "options") & (x["before"] != ""), x["before"]))
+
+    def listed(state: Column, x: Column) -> Column:
+        new = F.transform(x["options"], lambda o: F.struct(o["letter"].alias("letter"), o["text"].alias("text")))
+        last = F.element_at(state, -1)
+        longer = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.struct(last["letter"].alias("letter"), F.concat(last["text"], F.lit(" "), x["clean"]).alias("text"))))
+        return F.when(x["kind"] == "options", F.concat(state, new)).when(x["kind"] == "more", longer).otherwise(state)
+
+    options = F.aggregate("l", F.array().cast("array<struct<letter:string,text:string>>"), listed)
+    marked = F.flatten(F.transform("l", lambda x: F.transform(F.filter(x["options"], lambda o: o["marked"]), lambda o: o["letter"])))
+    told = F.filter("l", lambda x: x["kind"] == "answer")
+    answer = F.when(F.size(marked) > 0, F.element_at(marked, -1)).when(F.size(told) > 0, F.get(told, F.lit(0))["letter"])
+    return whole.select(
+        doc, "block", squeezed(F.array_join(F.array_compact(texts), " ")).alias("question"), F.transform(options, lambda o: F.struct(o["letter"].alias("letter"), squeezed(o["text"]).alias("text"))).alias("options"),
+        answer.alias("answer"), F.transform("l", lambda x: x["clean"]).alias("notes"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stemforge.functions import text as T
 from stemforge.operators import policy, records as R, windows as W
-from stemforge.plans import questions as _questions  # noqa: F401  registers its queries
+from stemforge.plans import questions as _questions, results as _results  # noqa: F401  they register their queries
 from stemforge.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from stemforge.plans.synth import FAILURES, RECORDS, document_records, failures, records, table
 
@@ -170,11 +170,15 @@ def append_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.append_visible(project, current).select("id", "question")
 
 
-@query("SELECT l_orderkey AS order_key, CAST(max(l_linenumber) + 1 AS INT) AS n_expected, CAST(count(DISTINCT l_linenumber) AS INT) AS n_covered, false AS complete FROM lineitem GROUP BY l_orderkey")
+@query(
+    """SELECT l_orderkey AS order_key, CAST(max(l_linenumber) + l_orderkey % 2 AS INT) AS n_expected, CAST(count(DISTINCT l_linenumber) AS INT) AS n_covered, max(l_linenumber) + l_orderkey % 2 = count(DISTINCT l_linenumber) AS complete,
+    array_to_string(list_sort(list_filter(range(1, CAST(max(l_linenumber) + l_orderkey % 2 + 1 AS BIGINT)), lambda i: NOT list_contains(list(l_linenumber), i))), ',') AS missing FROM lineitem GROUP BY l_orderkey"""
+)
 def coverage_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other order expects one line more than it has."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("number"))
-    expected = li.groupBy("order_key").agg(F.max("number").alias("m")).select("order_key", F.explode(F.sequence(F.lit(1), F.col("m") + 1)).alias("number"))
-    return R.coverage(expected, li, "order_key").select("order_key", "n_expected", "n_covered", "complete")
+    expected = li.groupBy("order_key").agg(F.max("number").alias("m")).select("order_key", F.explode(F.sequence(F.lit(1), (F.col("m") + F.col("order_key") % 2).cast("int"))).alias("number"))
+    return R.coverage(expected, li, "order_key").select("order_key", "n_expected", "n_covered", "complete", F.array_join("missing", ",").alias("missing"))
 
 
 @query(
@@ -524,12 +528,11 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("batch_no", F.when(F.col("batch_no") % 3 == 0, F.expr("substring(concat('{\"questions\":[', body, ']}'), 1, length(body) - 50)")).otherwise(whole).alias("text"))
 
 
-@query("WITH n AS (SELECT CAST(p_partkey // 10 AS INT) AS batch_no, count(*) AS n FROM part GROUP BY 1) SELECT batch_no, CAST(CASE WHEN batch_no % 3 = 0 THEN n - 1 ELSE n END AS BIGINT) AS questions, batch_no % 3 = 0 AS salvaged FROM n WHERE n > 1")
+@query("WITH n AS (SELECT CAST(p_partkey // 10 AS INT) AS batch_no, count(*) AS n FROM part GROUP BY 1) SELECT batch_no, CAST(CASE WHEN batch_no % 3 = 0 THEN n - 1 ELSE n END AS BIGINT) AS questions, batch_no % 3 = 0 AND n > 1 AS salvaged FROM n")
 def salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stemforge.functions.modeljson import parse_responses
 
-    sizes = records(spark, sf_dir).groupBy(F.floor(F.col("id") / 10).cast("int").alias("batch_no")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    d = parse_responses(_responses(spark, sf_dir).join(sizes.select("batch_no"), "batch_no"))
+    d = parse_responses(_responses(spark, sf_dir))
     return d.select("batch_no", F.size("questions").cast("long").alias("questions"), "salvaged")
 
 
