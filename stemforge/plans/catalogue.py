@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stemforge.functions import text as T
+from stemforge.functions import html, text as T
 from stemforge.operators import policy, records as R, windows as W
 from stemforge.plans import questions as _questions, results as _results  # noqa: F401  they register their queries
 from stemforge.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -194,7 +194,7 @@ def completed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different parts of one type and size whose lengths differ little: blocking by equal keys."""
+    """Pairs of different parts of one type and size: blocking by equal keys."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("name"))
     p = p.withColumn("tokens", T.tokens(F.col("name")))  # once for each part, not for each pair
     a = p.select(F.col("p_partkey").alias("a"), "p_type", "p_size", F.col("name").alias("x"), F.col("tokens").alias("u"))
@@ -395,14 +395,21 @@ def answer_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages"""
 )
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</(script|style)\s*>", " "), "<[^>]*>", " ")
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(x, r"\s+", " ")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", html.to_text(F.col("html")).alias("text"))
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|iframe|object|embed|link|meta)\b[^>]*>(.*?</(script|style|iframe|object|embed)\s*>)?', '', 'g'), '(?i)\son[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g') AS html FROM pages""")
+#: Links that a page gets by its number, and what of them is safe.
+LINKS = [('<a href="javascript:go()" id="k">x</a>', '<a id="k">x</a>'), ("<img alt=y src='data:text/html;base64,AA=='>", "<img alt=y>"), ('<a href=" JavaScript:go(1)">x</a>', "<a>x</a>"), ('<a href="https://x.org/javascript:1">x</a>', '<a href="https://x.org/javascript:1">x</a>'), ("<a xlink:href=javascript:go>x</a><img src=data:image/png;base64,AA>", "<a>x</a><img src=data:image/png;base64,AA>")]
+
+
+@query(
+    r"""SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|iframe|object|embed|link|meta)\b[^>]*>(.*?</(script|style|iframe|object|embed)\s*>)?', '', 'g'), '(?i)\son[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g')
+    || list_extract("""
+    + "[" + ", ".join("'" + safe.replace("'", "''") + "'" for _, safe in LINKS) + "], CAST(page_id % 5 + 1 AS INT)) AS html FROM pages"
+)
 def html_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.regexp_replace("html", r"(?is)<(script|style|iframe|object|embed|link|meta)\b[^>]*>(.*?</(script|style|iframe|object|embed)\s*>)?", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(x, r"""(?i)\son[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "").alias("html"))
+    link = F.element_at(F.array(*[F.lit(x) for x, _ in LINKS]), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", html.sanitize(F.concat("html", link)).alias("html"))
 
 
 # --- policies and events

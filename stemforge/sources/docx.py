@@ -128,12 +128,14 @@ def paragraphs(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder up to 50 MiB, one of each name, with their kind."""
+    """Files of a folder up to 50 MiB, with their kind; of one name the first by path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MOST_BYTES)
     name = F.element_at(F.split("path", "/"), -1)
     end = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     kind = F.when(end == "pdf", "pdf").when(end == "docx", "docx").when(end.isin("png", "jpg", "jpeg", "webp"), "image").when(end.isin("md", "markdown"), "markdown").when(end == "csv", "csv").otherwise("text")
-    return files.withColumns({"name": name, "kind": kind}).dropDuplicates(["name"])
+    named = files.withColumns({"name": name, "kind": kind})
+    first = named.groupBy("name").agg(F.min("path").alias("path"))  # without contents
+    return named.join(first.select("path"), "path", "left_semi")
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
