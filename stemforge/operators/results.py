@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemforge.functions.lineage import cut_lineage
 from stemforge.operators.markdown import squeezed, trimmed
 
 # Marks of a shared case, tokens that come of bad character recognition, and clinical tokens with digits that do not.
@@ -104,6 +105,19 @@ def in_final_order(records: DataFrame, position: str = "position") -> DataFrame:
     return records.withColumn("final_number", final_number(F.col("question"))).orderBy("final_number", position)
 
 
+def with_places(ordered: DataFrame) -> DataFrame:
+    """Sorted rows with their place (from 1): each partition's rows begin behind those of the partitions before it.
+
+    The sorted rows are kept, as places and sizes must come of one run: run twice, a sort may deal its rows over other partitions.
+    """
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    d = cut_lineage(ordered.select("*", F.spark_partition_id().alias("__part"), nth.alias("__nth")))
+    sizes = d.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    placed = d.join(sizes.select("__part", before.alias("__before")), "__part").withColumn("place", F.col("__before") + F.col("__nth") + 1)
+    return placed.select(*ordered.columns, "place")
+
+
 def difficulty_overview(records: DataFrame, collation: str = "vi") -> DataFrame:
     """place, difficulty and n of each difficulty, sorted as Vietnamese readers do (d before đ, accents in their order)."""
     label = trimmed(F.coalesce("difficulty", F.lit("")))

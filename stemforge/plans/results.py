@@ -63,14 +63,7 @@ def final_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, F.concat(F.lit("Câu số "), n, F.lit(": "), name)).when(k % 5 == 1, F.concat(F.lit("see question "), n)).when(k % 5 == 2, F.concat(n, F.lit(") "), name)).when(k % 5 == 3, F.concat(name, F.lit(" "), n, F.lit(".")))
     )
     ordered = results.in_final_order(p.select(k.alias("id"), question.alias("question"), k.alias("position")))
-    # places of a distributed sort: each partition's rows begin behind those of the partitions before it
-    part = ordered.select("id", "final_number", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth"))
-    from pyspark.sql import Window
-
-    sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    nth = F.col("nth").bitwiseAND((1 << 33) - 1)
-    return part.join(sizes.select("part", before.alias("before")), "part").select("id", "final_number", (F.col("before") + nth + 1).alias("place"))
+    return results.with_places(ordered).select("id", "final_number", "place")
 
 
 #: Labels in the order of Vietnamese readers.

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from stemforge.operators import phases, results
 
 ROWS = phases.ROWS
@@ -90,3 +91,20 @@ def test_compact_records(spark):
     d = spark.createDataFrame([(1, "q", list("abcdefg"), "A", "s", "long"), (2, "q", None, "B", "s", None)], "id int, question string, options array<string>, answer string, source string, explanation string")
     got = results.compact(d).orderBy("id").collect()
     assert got[0]["options"] == list("abcde") and got[1]["options"] == [] and "explanation" not in got[0].asDict() and got[0]["difficulty"] == ""
+
+
+def test_places_of_a_sort_over_many_partitions(spark):
+    """Each step may coalesce its partitions differently: places and partition sizes must come of one run."""
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.shuffle.partitions"]
+    had = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ["20000", "false", "1", "40"], strict=True):
+        spark.conf.set(n, v)
+    try:
+        entry.queries()["final_order"](spark, "/root/testdata/sf0.01").createOrReplaceTempView("placed")
+        got = [(r["id"], r["place"]) for r in spark.sql("SELECT id, place FROM placed ORDER BY place").collect()]
+    finally:
+        for n, v in had.items():
+            spark.conf.set(n, v)
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", "p_size").collect()
+    want = sorted((r["p_size"] if r["p_partkey"] % 5 < 3 else 999_999, r["p_partkey"]) for r in part)
+    assert got == [(k, i) for i, (_, k) in enumerate(want, 1)]
