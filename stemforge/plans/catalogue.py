@@ -569,9 +569,9 @@ def partial_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def split_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stemforge.operators.segments import split_udf
+    from stemforge.operators.segments import natural_parts
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_udf("text")).alias("part", "text"))
+    return natural_parts(table(spark, sf_dir, "documents"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import zipfile
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -205,6 +206,18 @@ def test_shared_cases_and_splits():
     assert "".join(parts) == long and len(parts) == 3 and all(p.lstrip().startswith("Câu") for p in parts)
 
 
+def test_parts_of_texts_leave_a_task_in_small_batches(spark):
+    texts = [None, "", "  \n ", "a", "First sentence here. Second one there.\n\nA paragraph."] * 300
+    want = [(i, k, part) for i, t in enumerate(texts) for k, part in enumerate(segments.split_naturally(t or ""))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = list(segments._split_batches(iter([batch])))
+    assert len(out) > 1 and max(len(set(b.column("doc_id").to_pylist())) for b in out) <= segments.SPLIT_ROWS
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in segments.natural_parts(d).collect()) == want
+    assert segments.natural_parts(d.where("text = '  \n '")).count() == 0
+
+
 @pytest.mark.parametrize("n,size,overlap", [(n, s, o) for n in (1, 2, 3, 7, 8, 20) for s, o in ((3, 1), (2, 1), (3, 0), (1, 0))])
 def test_page_ranges_cover_all(spark, n, size, overlap):
     got = sorted((r["start"], r["end"]) for r in windows.page_ranges(one(spark, n_pages=n), size=size, overlap=overlap).collect())
