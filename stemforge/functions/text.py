@@ -327,8 +327,8 @@ def download_name(name: Column, default: str = "export") -> Column:
 
 def strange_ratio(text: Column) -> Column:
     """Share of characters that are no letters, digits or usual punctuation; 1 for a blank text."""
-    compact = F.regexp_replace(text, r"(?U)\s", "")
-    usual = r"""[\p{L}\p{N}.,;:!?()\[\]{}'"%+\-=/<>°–—_`~^&|#@*$✓✔☑✅]"""
+    compact = F.regexp_replace(text, r"(?U)\s++", "")  # whole runs at once
+    usual = r"""[\p{L}\p{N}.,;:!?()\[\]{}'"%+\-=/<>°–—_`~^&|#@*$✓✔☑✅]++"""
     return F.when(compact == "", 1.0).otherwise(F.length(F.regexp_replace(compact, usual, "")) / F.length(compact))
 
 

@@ -27,7 +27,7 @@ VOWEL = r"(?iu)[aeiouyàáạảãâầấậẩẫăằắặẳẵèéẹẻ
 
 def page_text(text: Column) -> Column:
     """Single spaces, at most one blank line, question markers on lines of their own."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\n])[^\S\n]+((?:Câu|Cau|Question|Q)\s*\d{1,4}\s*[:.)-])", "$1\n$2")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\n])[^\S\n]++((?:Câu|Cau|Question|Q)\s*\d{1,4}\s*[:.)-])", "$1\n$2")
     return F.trim(F.regexp_replace(F.regexp_replace(F.replace(out, F.lit("\xa0"), F.lit(" ")), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
@@ -38,15 +38,10 @@ def marker_numbers(text: Column) -> Column:
     return F.when(F.size(keyword) > 0, keyword).otherwise(number(BARE))
 
 
-def marker_estimate(text: Column) -> Column:
-    """confidence, count, duplicates, markers, numbers and run of a page's question markers."""
-    found = marker_numbers(text)
-    distinct = F.array_distinct(found)
-    n, markers, options = F.size(distinct), F.size(found), F.regexp_count(text, F.lit(OPTION))
-    run = longest_run(distinct)
+def _estimate(found: Column, distinct: Column, run: Column, options: Column, keywords: Column) -> Column:
+    n, markers = F.size(distinct), F.size(found)
     in_sequence = (n <= 1) | (run >= F.greatest(F.lit(2), F.ceil(n * 0.75)))
     optioned = options >= F.least(F.lit(4), F.greatest(F.lit(2), n * 2))
-    keywords = F.regexp_count(text, F.lit(KEYWORD)) > 0
     listing = ~keywords & F.when(n >= 3, (options < 3) | (options / n < 1.5)).otherwise(options == 0)
     confidence = (
         F.when(markers == 0, "none").when(listing, "low").when(markers - n > F.greatest(F.lit(1), F.floor(n / 4)), "low").when(in_sequence & optioned, F.when(n >= 2, "high").otherwise("medium"))
@@ -55,9 +50,16 @@ def marker_estimate(text: Column) -> Column:
     return F.struct(confidence.alias("confidence"), F.when(listing | (markers == 0), 0).otherwise(n).alias("count"), (markers - n).alias("duplicates"), markers.alias("markers"), distinct.alias("numbers"), run.alias("run"))
 
 
+def marker_estimate(text: Column) -> Column:
+    """confidence, count, duplicates, markers, numbers and run of a page's question markers."""
+    found = marker_numbers(text)
+    distinct = F.array_distinct(found)
+    return _estimate(found, distinct, longest_run(distinct), F.regexp_count(text, F.lit(OPTION)), F.regexp_count(text, F.lit(KEYWORD)) > 0)
+
+
 def scrambled_words(text: Column) -> Column:
     """Words with digits inside that only a legacy font explains."""
-    found = F.regexp_extract_all(text, F.lit(r"(?U)\b([a-zA-Zà-ỹÀ-ỸÀ-ſ]+[1-9]+[a-zA-Zà-ỹÀ-ỸÀ-ſ]*)\b"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"(?U)\b([a-zA-Zà-ỹÀ-ỸÀ-ſ]++[1-9]+[a-zA-Zà-ỹÀ-ỸÀ-ſ]*)\b"), F.lit(1))
 
     def odd(w: Column) -> Column:
         letters = F.regexp_replace(w, "[0-9]", "")
@@ -118,29 +120,36 @@ def boundary_risks(pages: DataFrame) -> DataFrame:
     w = Window.partitionBy("file_id").orderBy("page")
     risky = [F.col(c) for c in ("table_risk", "column_risk") if c in pages.columns]
     any_risk = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in risky], F.lit(False))
-    split = F.filter(F.transform(F.split(page_text(F.col("text")), r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
-    d = pages.select("file_id", "page", split.alias("now"), any_risk.alias("risk"), (marker_estimate(page_text(F.col("text")))["confidence"] == "low").alias("noisy"))
-    neighbours = {"before": F.lag("now").over(w), "after": F.lead("now").over(w), "page_before": F.lag("page").over(w), "page_after": F.lead("page").over(w), "risk_after": F.lead("risk").over(w), "noisy_after": F.lead("noisy").over(w)}
-    d = d.withColumns(neighbours).withColumns({"n": F.coalesce("after", F.array().cast("array<string>")), "p": F.coalesce("before", F.array().cast("array<string>"))})
+    # what a page says by itself comes first, step by step: each expression is searched once a page, and neighbours exchange facts, not lines
+    d = pages.select("file_id", "page", page_text(F.col("text")).alias("text"), any_risk.alias("risk"))
+    d = d.withColumns({"found": marker_numbers(F.col("text")), "keywords": F.regexp_count("text", F.lit(KEYWORD)) > 0, "options": F.regexp_count("text", F.lit(OPTION))})
+    split = F.filter(F.transform(F.split("text", r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    d = d.withColumns({"distinct": F.array_distinct("found"), "now": split}).withColumn("run", longest_run(F.col("distinct")))
     places = lambda lines, pattern: F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
-    d = d.withColumns({"asked": places(F.col("now"), QUESTION_LINE), "optioned": places(F.col("now"), OPTION_LINE), "next_asked": F.coalesce(F.array_min(places(F.col("n"), QUESTION_LINE)), F.lit(-1)), "next_optioned": places(F.col("n"), OPTION_LINE)})
-    last = F.coalesce(F.array_max("asked"), F.lit(-1))
-    d = d.withColumn("last", last)
+    tail = lambda lines: F.array_join(F.slice(lines, F.greatest(F.size(lines) - 7, F.lit(1)), 8), " ")
+    noisy = _estimate(*[F.col(c) for c in ("found", "distinct", "run", "options", "keywords")])["confidence"] == "low"
+    d = d.select("file_id", "page", "risk", "now", noisy.alias("noisy"), F.size("now").alias("size"), places(F.col("now"), QUESTION_LINE).alias("asked"), places(F.col("now"), OPTION_LINE).alias("optioned"),
+                 F.exists(F.slice("now", 1, 5), lambda x: x.rlike(ANSWER_LINE)).alias("key"), tail(F.col("now")).rlike(SHARED_CASE).alias("shared"))
+    d = d.withColumns({"last": F.coalesce(F.array_max("asked"), F.lit(-1)), "first": F.coalesce(F.array_min("asked"), F.lit(-1))})
+    same_line = F.exists(F.slice("now", F.greatest(F.col("last") + 1, F.lit(1)), F.size("now") + 1), lambda x: x.rlike(SAME_LINE))
+    d = d.withColumn("same_line", same_line).drop("now", "asked")
+    ahead = lambda c, default: F.coalesce(F.lead(c).over(w), default)
+    d = d.withColumns({
+        "page_before": F.lag("page").over(w), "page_after": F.lead("page").over(w), "shared_before": F.coalesce(F.lag("shared").over(w), F.lit(False)), "risk_after": F.lead("risk").over(w), "noisy_after": F.lead("noisy").over(w),
+        "next_asked": ahead("first", F.lit(-1)), "next_optioned": ahead("optioned", F.array().cast("array<int>")), "key_next": ahead("key", F.lit(False)), "next_size": ahead("size", F.lit(0)),
+    })
     first_option = F.coalesce(F.array_min("next_optioned"), F.lit(-1))
     has_next_question = F.col("next_asked") >= 0
-    tail = lambda lines: F.array_join(F.slice(lines, F.greatest(F.size(lines) - 7, F.lit(1)), 8), " ")
     facts = {
         "options_after": F.when(F.col("last") >= 0, F.size(F.filter("optioned", lambda i: i > F.col("last")))).otherwise(0),
-        "trailing": (F.col("last") >= 0) & (F.col("last") >= F.floor(F.size("now") * 0.55)),
-        "same_line": F.exists(F.slice("now", F.greatest(F.col("last") + 1, F.lit(1)), F.size("now") + 1), lambda x: x.rlike(SAME_LINE)),
+        "trailing": (F.col("last") >= 0) & (F.col("last") >= F.floor(F.col("size") * 0.55)),
         "options_before": F.when(has_next_question, F.size(F.filter("next_optioned", lambda i: i < F.col("next_asked")))).otherwise(F.size("next_optioned")),
         "starts": (first_option >= 0) & (~has_next_question | (first_option < F.col("next_asked"))),
-        "key_next": F.exists(F.slice("n", 1, 5), lambda x: x.rlike(ANSWER_LINE)),
     }
     d = d.withColumns(facts)
     bare = F.col("trailing") & (F.col("options_after") < 2) & ~F.col("same_line")
-    shared = tail(F.col("now")).rlike(SHARED_CASE) | (tail(F.col("p")).rlike(SHARED_CASE) & (has_next_question | F.col("starts")))
-    continues = (F.size("n") > 0) & (F.col("next_asked") != 0) & ~F.col("starts")
+    shared = F.col("shared") | (F.col("shared_before") & (has_next_question | F.col("starts")))
+    continues = (F.col("next_size") > 0) & (F.col("next_asked") != 0) & ~F.col("starts")
     rules = [
         ("trailing_question_without_options", bare),
         ("next_page_starts_with_options", F.col("starts")),

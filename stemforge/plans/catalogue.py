@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemforge.functions import html, text as T
+from stemforge.functions.lineage import cut_lineage
 from stemforge.operators import policy, records as R, windows as W
 from stemforge.operators.pairs import scored_pairs
 from stemforge.plans import questions as _questions, results as _results  # noqa: F401  they register their queries
@@ -591,7 +592,8 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stemforge.operators.pdf import boundary_risks, score_pages, vision_ranges
 
-    pages = score_pages(_pages(spark, sf_dir))
+    # both steps read the scored pages: they are scored once
+    pages = cut_lineage(score_pages(_pages(spark, sf_dir)).select("file_id", "page", "text", "table_risk", "quality"))
     return vision_ranges(pages, boundary_risks(pages))
 
 

@@ -215,3 +215,11 @@ def test_vision_ranges_cover_all_bad_pages(spark, size):
     d = spark.createDataFrame(rows, "file_id string, page int, quality string, text string")
     got = pdf.vision_ranges(d, pdf.boundary_risks(d), size=size).withColumn("p", F.explode(F.sequence("start", "end"))).select("file_id", "p").distinct().collect()
     assert {(f, p) for f, p, q, _ in rows if q != "goodText"} <= {tuple(x) for x in got}
+
+
+def test_neighbouring_pages_exchange_facts_not_lines(spark):
+    """What crosses the exchange of boundary risks are numbers and flags: no text, and no list of lines."""
+    d = spark.createDataFrame([("f", 1, "Câu 1: a\nA. b"), ("f", 2, "B. c")], "file_id string, page int, text string")
+    plan = pdf.boundary_risks(d)._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.split("\n") if "Window [" in line)
+    assert "array<string>" not in window and "lag(now" not in window and "lead(now" not in window and "lead(optioned" in window
