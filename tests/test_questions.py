@@ -223,3 +223,13 @@ def test_neighbouring_pages_exchange_facts_not_lines(spark):
     plan = pdf.boundary_risks(d)._jdf.queryExecution().optimizedPlan().toString()
     window = next(line for line in plan.split("\n") if "Window [" in line)
     assert "array<string>" not in window and "lag(now" not in window and "lead(now" not in window and "lead(optioned" in window
+
+
+def test_pages_of_documents_are_cut_in_one_pass(spark):
+    from stemforge.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    texts = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 0").collect()}
+    d = catalogue._pages(spark, sf)
+    assert sorted(tuple(r) for r in d.collect()) == sorted((k, i // 1500 + 1, t[i : i + 1500]) for k, t in texts.items() for i in range(0, len(t), 1500))
+    assert "substring" not in d._jdf.queryExecution().optimizedPlan().toString()
