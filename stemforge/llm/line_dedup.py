@@ -10,7 +10,8 @@ one class.
    shares its bands with most others and with the least one, and union-find labels what is linked.
 2. Bands whose other classes still have several labels go through an exact prefix join.  Of these
    classes' sets, what only one label has comes first, then what few classes have; pairs of different
-   labels whose prefixes in this order meet are compared.  So all classes that share a band, and are
+   labels whose prefixes in this order meet, and whose sets differ in no more bits of their parities than
+   two similar ones may, are compared.  So all classes that share a band, and are
    similar, end in one component.
 3. Pairs of either step are verified by the exact Jaccard similarity of their shingle sets; union-find
    joins what is linked, and of each component only the first line (by document id, then by line
@@ -27,6 +28,9 @@ carried along; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +48,24 @@ SIMILARITY = 0.8
 HOT_TOKENS = 1000
 #: Places are document id times this, plus the line's number.
 PLACES = 10_000_000_000
+#: Numbers of 64 bits, a power of two, that tell sets apart before they are compared.
+PARITIES = 4
 #: Ids up to which a list is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
+def shingle_hashes(normal: Column) -> Column:
+    """64-bit hashes of the shingles, again where they repeat."""
+    return F.transform(F.regexp_extract_all(normal, F.lit(SHINGLE), F.lit(1)), lambda x: F.xxhash64(x))
+
+
 def shingle_set(normal: Column) -> Column:
     """Distinct 64-bit hashes of the shingles."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(normal, F.lit(SHINGLE), F.lit(1)), lambda x: F.xxhash64(x)))
+    return F.array_distinct(shingle_hashes(normal))
 
 
 def bands(shingles: Column) -> list[Column]:
-    """A hash for each band of two bins, from a set of shingles; null where both bins are empty.
+    """A hash for each band of two bins, from hashes of shingles; null where both bins are empty.
 
     Bins are equal parts of the range of hashes.  Sorted among the bins' lower bounds, a bin's least
     hash stands right after its bound: no function of Python's or of single elements is called.
@@ -94,14 +105,16 @@ def normal_form(line: Column) -> Column:
 
 def places(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """place and normal form of every line with a word; texts are normalised before they are split, which takes one call for each."""
-    spaced = F.regexp_replace(text_column, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    # most texts hold single spaces only, which plain searches tell sooner than a pattern
+    odd = reduce(or_, [F.contains(text_column, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    spaced = F.when(odd, F.regexp_replace(text_column, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")).otherwise(F.col(text_column))
     return _lines(docs, id_column, F.lower(spaced)).select("place", F.trim("line").alias("x")).where("x != ''")
 
 
 def keyed_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """place, two hashes of the normal form (k0, k1) and band hashes of every line with a word."""
     lines = places(docs, id_column, text_column)
-    signed = lines.select("place", F.xxhash64(F.lit(0), "x").alias("k0"), F.xxhash64(F.lit(1), "x").alias("k1"), shingle_set(F.col("x")).alias("__s"))
+    signed = lines.select("place", F.xxhash64(F.lit(0), "x").alias("k0"), F.xxhash64(F.lit(1), "x").alias("k1"), shingle_hashes(F.col("x")).alias("__s"))
     marks, *hashes = bands(F.col("__s"))
     return signed.select("place", "k0", "k1", marks.alias("__marks")).select("place", "k0", "k1", *[h.alias(f"b{k}") for k, h in enumerate(hashes)])
 
@@ -169,8 +182,17 @@ def member_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, id_colu
     return materialize(sets.dropDuplicates(["k0"])) if sets.count() > wanted.count() else sets
 
 
+def parities() -> list[Column]:
+    """PARITIES numbers that hold, for each of their bits, whether an odd count of the shingles s falls on it.
+
+    Each shingle that only one of two sets has turns one bit over, so the bits in which the sets differ are at most so many.
+    """
+    part = "aggregate(s, 0L, (p, x) -> IF(shiftright(x, 6) & {last} = {k}, p ^ shiftleft(1L, CAST(x & 63L AS INT)), p))"
+    return [F.expr(part.format(last=PARITIES - 1, k=k)).alias(f"p{k}") for k in range(PARITIES)]
+
+
 def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of class names of different labels that may link: their prefixes meet, rarest shingles first."""
+    """Pairs a, b of class names of different labels that may link: their prefixes meet, rarest shingles first, and their parities allow it."""
     rows = sets.select("k0", "label", F.size("s").alias("size"), F.explode("s").alias("token"))
     by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
     mixed = by_label.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("m").alias("df"), F.max_by("label", F.struct("m", "label")).alias("main")).where("low != high")
@@ -184,13 +206,17 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     known = dealt.join(copies, ["token", "salt"]).groupBy("k0", "label", "size").agg(F.sort_array(F.collect_set(F.struct("df", "token", "main"))).alias("t"))
     spare = F.size("t") - least_shared(F.col("size"), similarity)
     prefix = known.where(spare >= 0).select("k0", "label", "size", (F.col("size") - F.size("t")).alias("alone"), F.posexplode(F.slice("t", 1, spare + 1)).alias("at", "t"))
-    kept = materialize(prefix.select("k0", "label", "size", (F.col("alone") + F.col("at")).alias("place"), "t.token", (F.col("label") != F.col("t.main")).alias("minor")))
-    a, b = (kept.select("token", *[F.col(c).alias(c + x) for c in ("k0", "label", "size", "place", "minor")]) for x in ("_a", "_b"))
+    odd = [f"p{k}" for k in range(PARITIES)]
+    kept = prefix.select("k0", "label", "size", (F.col("alone") + F.col("at")).alias("place"), "t.token", (F.col("label") != F.col("t.main")).alias("minor"))
+    kept = materialize(kept.join(sets.select("k0", *parities()), "k0"))
+    a, b = (kept.select("token", *[F.col(c).alias(c + x) for c in ("k0", "label", "size", "place", "minor", *odd)]) for x in ("_a", "_b"))
     # the sizes of a pair say what it must share, and so where its first common shingle may stand at the latest
     must = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
     near = (F.col("place_a") + must <= F.col("size_a")) & (F.col("place_b") + must <= F.col("size_b"))
     once = ~F.col("minor_b") | (F.col("k0_a") < F.col("k0_b"))
-    met = a.where("minor_a").join(b, "token").where(once & (F.col("label_a") != F.col("label_b")) & near)
+    unlike = reduce(add, [F.bit_count(F.col(p + "_a").bitwiseXOR(F.col(p + "_b"))) for p in odd])
+    close = unlike + 2 * must <= F.col("size_a") + F.col("size_b")
+    met = a.where("minor_a").join(b, "token").where(once & (F.col("label_a") != F.col("label_b")) & near & close)
     return met.select(F.least("k0_a", "k0_b").alias("a"), F.greatest("k0_a", "k0_b").alias("b")).distinct()
 
 

@@ -245,6 +245,17 @@ def test_similar_lines_within_a_crowded_band(spark):
     assert got == brute_lines(rows) == {1000 + i: [0] for i in range(60)}
 
 
+def test_parities_allow_all_similar_sets_and_few_others(spark):
+    """Prefixes that meet make a pair only if as many bits may differ; edited copies of one set."""
+    r = random.Random(7)
+    base = [r.getrandbits(63) for _ in range(60)]
+    sets = [set(base[:50]) ^ set(r.sample(base, r.randrange(16))) for _ in range(80)]
+    rows = [(i, i, sorted(x)) for i, x in enumerate(sets)]
+    got = {(x["a"], x["b"]) for x in line_dedup.prefix_pairs(spark.createDataFrame(rows, "k0 long, label long, s array<long>"), 0.8).collect()}
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want <= got and len(got) < 1.1 * len(want)
+
+
 # --- pipeline
 
 
