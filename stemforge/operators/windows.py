@@ -28,8 +28,8 @@ def text_windows(texts: DataFrame, length: str, budget: int = 15_000, overlap: i
 
 
 def merge_intervals(intervals: DataFrame, group: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Intervals of a group that touch or overlap, merged (gaps and islands)."""
-    w = Window.partitionBy(*group).orderBy(start, end)
+    """Intervals of a group that touch or overlap, merged (gaps and islands).  A null start or end comes last: it is no gap."""
+    w = Window.partitionBy(*group).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     d = intervals.withColumn("__new", (before.isNull() | (F.col(start) > before + 1)).cast("int"))
     d = d.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
